@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .mixing import OP6_SQL, op6_mixing
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_mixing": op6_mixing,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
+    "op6_mixing": OP6_SQL,
 }
