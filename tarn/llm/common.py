@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 #: bytes.split() without an argument splits at exactly these six.
@@ -75,3 +76,26 @@ def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     probed = df.withColumn("_b", _bit(F.col(key))).withColumn("_w", F.expr("_b div 64"))
     hit = probed.join(F.broadcast(bits), "_w").filter(F.expr("shiftrightunsigned(_bits, cast(_b % 64 as int)) & 1L = 1L"))
     return hit.drop("_w", "_b", "_bits")
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Whether a row belongs to the fold that nothing is learned from; a null id: no."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Rows of an Arrow batch that goes to Python, for tables whose rows may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def sample_by_class(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each class, those whose key's hash is lowest; the same ones at every run.
+
+    A first filter by hash leaves about 4 * most rows a class at least, so that the ranking sees few rows of a large class.
+    """
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(label, "_label")
+    spot = F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col(key)), 33)
+    near = rows.withColumn("_spot", spot).join(counts, F.col(label) == F.col("_label"))
+    near = near.filter(F.col("_spot") * F.col("_n") <= F.lit(float(1 << 31)) * (4.0 * most))
+    nth = F.row_number().over(Window.partitionBy(label).orderBy("_spot", key))
+    return near.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_spot", "_n", "_label", "_nth")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .language_id import op8_language_id
 from .mixing import OP6_SQL, op6_mixing
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_mixing": op6_mixing,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL = {
