@@ -5,9 +5,11 @@ from __future__ import annotations
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language_id import op8_language_id
 from .mixing import OP6_SQL, op6_mixing
+from .quality import op4_quality
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality": op4_quality,
     "op6_mixing": op6_mixing,
     "op8_language_id": op8_language_id,
 }
