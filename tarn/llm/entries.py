@@ -6,15 +6,18 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language_id import op8_language_id
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op4_quality
+from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
+    "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
     "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
+    "op5_warc": OP5_SQL,
     "op6_mixing": OP6_SQL,
 }
