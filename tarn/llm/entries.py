@@ -6,9 +6,11 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language_id import op8_language_id
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op4_quality
+from .token_file import op1_token_file
 from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op1_token_file": op1_token_file,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
     "op5_warc": op5_warc,
