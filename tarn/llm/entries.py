@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .fingerprint import op2_fingerprint
 from .language_id import op8_language_id
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op4_quality
@@ -11,6 +12,7 @@ from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_token_file": op1_token_file,
+    "op2_fingerprint": op2_fingerprint,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
     "op5_warc": op5_warc,
