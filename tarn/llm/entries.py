@@ -6,6 +6,7 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .fingerprint import op2_fingerprint
 from .language_id import op8_language_id
 from .mixing import OP6_SQL, op6_mixing
+from .packing import op10_packing
 from .quality import op4_quality
 from .token_file import op1_token_file
 from .warc import OP5_SQL, op5_warc
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
     "op8_language_id": op8_language_id,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {
