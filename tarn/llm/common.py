@@ -58,24 +58,24 @@ def n_words(text: Column) -> Column:
 BITMAP_BITS = 1 << 22
 
 
-def _bit(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
+def _bit(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
 
 
-def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
     """The rows of df whose key may be in keys (one column): all that are, and few others.
 
-    keys is folded into a bitmap of BITMAP_BITS bits, at most 65,536 words however many keys there are,
+    keys is folded into a bitmap of ``bits`` bits, at most bits / 64 words however many keys there are,
     which is what gets broadcast; so df is thinned before it is shuffled.
     """
     (name,) = keys.columns
-    bits = (
-        keys.select(_bit(F.col(name)).alias("_b"))
+    words = (
+        keys.select(_bit(F.col(name), bits).alias("_b"))
         .groupBy(F.expr("_b div 64").alias("_w"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(_b % 64 as int)))").alias("_bits"))
     )
-    probed = df.withColumn("_b", _bit(F.col(key))).withColumn("_w", F.expr("_b div 64"))
-    hit = probed.join(F.broadcast(bits), "_w").filter(F.expr("shiftrightunsigned(_bits, cast(_b % 64 as int)) & 1L = 1L"))
+    probed = df.withColumn("_b", _bit(F.col(key), bits)).withColumn("_w", F.expr("_b div 64"))
+    hit = probed.join(F.broadcast(words), "_w").filter(F.expr("shiftrightunsigned(_bits, cast(_b % 64 as int)) & 1L = 1L"))
     return hit.drop("_w", "_b", "_bits")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .fingerprint import op2_fingerprint
+from .jaccard import OP7_SQL, op7_jaccard
 from .language_id import op8_language_id
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op10_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
+    "op7_jaccard": op7_jaccard,
     "op8_language_id": op8_language_id,
     "op10_packing": op10_packing,
 }
@@ -26,4 +28,5 @@ ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
     "op5_warc": OP5_SQL,
     "op6_mixing": OP6_SQL,
+    "op7_jaccard": OP7_SQL,
 }
