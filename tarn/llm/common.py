@@ -62,11 +62,11 @@ def _bit(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(bits))
 
 
-def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
-    """The rows of df whose key may be in keys (one column): all that are, and few others.
+def in_bitmap(df: DataFrame, key: str, keys: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """df with maybe: true for every row whose key is in keys (one column), and for few others.
 
     keys is folded into a bitmap of ``bits`` bits, at most bits / 64 words however many keys there are,
-    which is what gets broadcast; so df is thinned before it is shuffled.
+    which is what gets broadcast; so df can be parted before it is shuffled.
     """
     (name,) = keys.columns
     words = (
@@ -75,8 +75,13 @@ def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int = BITMAP_BITS)
         .agg(F.expr("bit_or(shiftleft(1L, cast(_b % 64 as int)))").alias("_bits"))
     )
     probed = df.withColumn("_b", _bit(F.col(key), bits)).withColumn("_w", F.expr("_b div 64"))
-    hit = probed.join(F.broadcast(words), "_w").filter(F.expr("shiftrightunsigned(_bits, cast(_b % 64 as int)) & 1L = 1L"))
-    return hit.drop("_w", "_b", "_bits")
+    bit = F.expr("coalesce(shiftrightunsigned(_bits, cast(_b % 64 as int)) & 1L = 1L, false)")
+    return probed.join(F.broadcast(words), "_w", "left").withColumn("maybe", bit).drop("_w", "_b", "_bits")
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """The rows of df whose key may be in keys: all that are, and few others."""
+    return in_bitmap(df, key, keys, bits).filter("maybe").drop("maybe")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

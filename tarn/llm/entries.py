@@ -9,6 +9,7 @@ from .language_id import op8_language_id
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op10_packing
 from .quality import op4_quality
+from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .token_file import op1_token_file
 from .warc import OP5_SQL, op5_warc
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_jaccard": op7_jaccard,
     "op8_language_id": op8_language_id,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
 
@@ -29,4 +31,5 @@ ORACLE_SQL = {
     "op5_warc": OP5_SQL,
     "op6_mixing": OP6_SQL,
     "op7_jaccard": OP7_SQL,
+    "op9_substring_dedup": OP9_SQL,
 }
