@@ -84,6 +84,18 @@ def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int = BITMAP_BITS)
     return in_bitmap(df, key, keys, bits).filter("maybe").drop("maybe")
 
 
+def without(docs: DataFrame, key: str, dropped: DataFrame, kept: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in dropped and not in kept (one column each); all columns stay.
+
+    Only rows whose key may be in dropped, by a bitmap of fixed size, are shuffled.
+    """
+    probed = in_bitmap(docs, key, dropped)
+    again = kept.select(F.col(kept.columns[0]).alias("_kept")).distinct()
+    met = probed.filter("maybe").drop("maybe")
+    met = met.join(again, met[key].eqNullSafe(F.col("_kept")), "left_semi")
+    return probed.filter("not maybe").drop("maybe").unionByName(met)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a row belongs to the fold that nothing is learned from; a null id: no."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, cut, keyed
+from .common import GAP, cut, in_bitmap, keyed
 
 SALTS = 16
 
@@ -52,10 +52,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops; all columns stay. A row with a null id or a repeated winner stays once."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep_id"))
-    once = docs.dropDuplicates([id_col, text_col])
-    return once.join(kept, once[id_col].eqNullSafe(F.col("_keep_id")), "left_semi")
+    """docs without the rows that exact_dedup drops; all columns stay.
+
+    A row goes if its id was dropped and not kept with another text; of rows that repeat id and text one stays.
+    """
+    found = cut(exact_dedup(docs, id_col, text_col), "exact-dedup-found")
+    dropped, kept = found.filter("not kept").select("doc_id"), found.filter("kept")
+    probed = in_bitmap(docs, id_col, dropped)
+    met = probed.filter("maybe").drop("maybe").dropDuplicates([id_col, text_col])
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
+    digest = F.sha2(F.regexp_replace(F.coalesce(met[text_col], F.lit("")), GAP, " "), 256)
+    met = met.join(kept, met[id_col].eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_text")), "left_semi")
+    return probed.filter("not maybe").drop("maybe").unionByName(met)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

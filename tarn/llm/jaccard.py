@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, maybe_in, small_batches
+from .common import cut, keyed, maybe_in, small_batches, without
 from .components import components
 
 #: Sets whose shingles are looked at to estimate how often two sets share one; it steers costs alone.
@@ -321,10 +321,13 @@ def _texts(rows: DataFrame, named: DataFrame, width: int, seed: int) -> DataFram
 
 
 def one_of_each_class(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id") -> DataFrame:
-    """docs with one document of each class: that of the least id."""
-    kept = jaccard_classes(docs, width, num, den, id_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    """docs with one document of each class, that of the least id; all columns stay.
+
+    Rows of equal ids go only if each of them is to go.
+    """
+    found = cut(jaccard_classes(docs, width, num, den, id_col), "jaccard-classes")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return without(docs, id_col, found.filter(~stays).select("doc_id"), found.filter(stays).select("doc_id"))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out, keyed, sample_by_class, small_batches
 
@@ -116,19 +117,23 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return KernelModel.fit([b for _, b in got], [c for c, _ in got])
 
 
-def identify(docs: DataFrame, model: KernelModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's language and the score (0 to 1) of that language's regression.
+def annotate(docs: DataFrame, model: KernelModel, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
+    """docs, all columns, with each whole text's language and the score (0 to 1) of that language's regression.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Ties go to the first class in
-    code point order. One row for each row of docs, whole texts; other columns are ignored.
+    code point order. The two new names must not be taken.
     """
+    if taken := {lang_as, score_as} & set(docs.columns):
+        raise ValueError(f"docs has columns of these names: {sorted(taken)}")
     small_batches(docs.sparkSession)
+    place = docs.columns.index(text_col)
+    names = [*docs.columns, lang_as, score_as]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer() if model.classes else None
         x = np.zeros((TOGETHER, WIDTH), np.float32)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(place).to_pylist()
             lang, scores = ["und"] * len(texts), [0.0] * len(texts)
             known = [i for i, t in enumerate(texts) if score and t and LETTER.search(t)]
             for k in range(0, len(known), TOGETHER):
@@ -141,14 +146,15 @@ def identify(docs: DataFrame, model: KernelModel, id_col: str = "doc_id", text_c
                 for row, i in enumerate(part):
                     lang[i] = model.classes[best[row]]
                     scores[i] = float(min(1.0, max(0.0, (out[row, best[row]] + 1) / 2)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(scores, pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(scores, pa.float64())], names=names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())]))
 
+
+def identify(docs: DataFrame, model: KernelModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each row of docs (see annotate()); other columns are ignored."""
     rows = keyed(docs, doc_id=id_col, text=text_col).select("doc_id", held_out().alias("held_out"), "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return annotate(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,20 @@ def taken(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy(*same).agg(F.coalesce(F.sum("words"), F.lit(0)).alias("taken")).drop("row")
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """docs, all columns, each row as often as the mix takes it: its words taken over its size, rounded; else it goes.
+
+    So a source's whole documents come near its target. Documents without words go. Rows that repeat id and text are
+    taken equally often.
+    """
+    key = F.xxhash64(F.col(f"`{text_col}`"))
+    ids = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), key.alias("key")).alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))
+    times = taken(mix(ids, **how)).filter("size > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    times = times.filter("_times > 0").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.key").alias("_key"), "_times")
+    met = docs.join(times, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (key == F.col("_key")))
+    return met.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_key", "_times", "_nth")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return taken(pieces).select("doc_id", "size", "source_size", "target", "taken")
