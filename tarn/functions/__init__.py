@@ -1 +1 @@
-"""Part of the engine."""
+"""Functions over rows, as Column expressions."""

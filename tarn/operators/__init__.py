@@ -1 +1 @@
-"""Part of the engine."""
+"""What changes a table: appends, overwrites, schema changes, transactions."""

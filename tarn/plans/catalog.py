@@ -1,6 +1,474 @@
-"""The engine's own queries and their SQL, by name."""
+"""The engine's own queries and their SQL, by name. Each works in a new table of its own."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import datetime as dt
+import tempfile
+import uuid
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.forms import display_timestamp, little_endian_hex
+from ..functions.transforms import Transform
+from ..model import values
+from ..model.evolution import SchemaUpdate
+from ..model.manifests import DataFile, Status
+from ..model.types import ListType, Primitive, Schema, SchemaBuilder, StructType
+from ..operators.transaction import OverwriteFiles
+from ..sources.table import Table, TableLoader, table_like
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def place(spark: SparkSession) -> str:
+    """A location for a new table, in the folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}" if base else f"file://{tempfile.mkdtemp(prefix='tarn-table-')}"
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def filled(df: DataFrame, partition=None) -> Table:
+    """A new table with df's rows, loaded again."""
+    table = table_like(df.sparkSession, place(df.sparkSession), df, partition)
+    table.append(df)
+    return TableLoader(df.sparkSession, table.location).load()
+
+
+def by_flag(b):
+    return b.identity("l_returnflag")
+
+
+def by_flag_and_year(b):
+    return b.identity("l_returnflag").year("l_shipdate")
+
+
+# Rows
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
+       round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus
+""")
+def scan_aggregate(spark, sf_dir):
+    table = filled(read(spark, sf_dir, "lineitem"))
+    rows = table.scan(where=[("l_shipdate", "<=", dt.datetime(2001, 9, 2))])
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"),
+        F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("count_order"),
+    )
+
+
+@query("SELECT * FROM lineitem")
+def append_scan(spark, sf_dir):
+    return filled(read(spark, sf_dir, "lineitem")).scan()
+
+
+def _halves(spark, sf_dir) -> Table:
+    rows = read(spark, sf_dir, "lineitem")
+    table = filled(rows.filter("l_linenumber <= 3"))
+    table.append(rows.filter("l_linenumber > 3"))
+    return TableLoader(spark, table.location).load()
+
+
+@query("SELECT * FROM lineitem")
+def append_two_snapshots(spark, sf_dir):
+    return _halves(spark, sf_dir).scan()
+
+
+@query("SELECT * FROM lineitem WHERE l_linenumber <= 3")
+def time_travel(spark, sf_dir):
+    table = _halves(spark, sf_dir)
+    return table.scan(snapshot_id=table.metadata.snapshots[0].snapshot_id)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n, CAST(1 AS BIGINT) AS snapshots")
+def append_empty_then_scan(spark, sf_dir):
+    table = table_like(spark, place(spark), read(spark, sf_dir, "region"))
+    table.new_transaction().append_files([]).commit()
+    snapshots = len(table.metadata.snapshots)
+    return table.scan().agg(F.count(F.lit(1)).alias("n")).withColumn("snapshots", F.lit(snapshots).cast("long"))
+
+
+def _files_of(table: Table, flag: str) -> list[str]:
+    return [f.file_path for f, _ in table.live_files() if f.partition["l_returnflag"] == flag]
+
+
+@query("SELECT * FROM lineitem WHERE l_returnflag <> 'R'")
+def overwrite_delete_partition(spark, sf_dir):
+    table = filled(read(spark, sf_dir, "lineitem"), by_flag)
+    table.new_transaction().overwrite_files(delete=_files_of(table, "R")).commit()
+    return TableLoader(spark, table.location).load().scan()
+
+
+@query("SELECT * REPLACE (CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE l_discount END AS l_discount) FROM lineitem")
+def overwrite_replace(spark, sf_dir):
+    table = filled(read(spark, sf_dir, "lineitem"), by_flag)
+    rewritten = table.scan(where=[("l_returnflag", "=", "R")]).withColumn("l_discount", F.lit(0.0))
+    table.new_transaction().overwrite_files(delete=_files_of(table, "R"), add=table.write(rewritten)).commit()
+    return table.scan()
+
+
+@query("SELECT * FROM orders WHERE o_orderstatus = 'F'")
+def overwrite_all(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    table = filled(orders)
+    table.overwrite(orders.filter("o_orderstatus = 'F'"))
+    return table.scan()
+
+
+@query("SELECT * FROM part")
+def register_files(spark, sf_dir):
+    rows = read(spark, sf_dir, "part")
+    table = table_like(spark, place(spark), rows)
+    found = rows.inputFiles()
+    n = rows.count()
+    table.add_files([DataFile(p.replace("file:///", "file:///"), n if k == 0 else 0, 1) for k, p in enumerate(found)])
+    return TableLoader(spark, table.location).load().scan()
+
+
+@query("SELECT * FROM lineitem WHERE l_returnflag = 'A'")
+def pruned_scan(spark, sf_dir):
+    return filled(read(spark, sf_dir, "lineitem"), by_flag).scan(where=[("l_returnflag", "=", "A")])
+
+
+@query("""
+SELECT CAST(count(*) AS BIGINT) AS n_rows, (SELECT CAST(count(DISTINCT year(l_shipdate)) AS BIGINT) FROM lineitem WHERE year(l_shipdate) >= 1998) AS n_files
+FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'
+""")
+def pruned_files(spark, sf_dir):
+    table = filled(read(spark, sf_dir, "lineitem"), lambda b: b.year("l_shipdate"))
+    where = [("l_shipdate", ">=", dt.datetime(1998, 1, 1))]
+    n = len(table.plan(where=where))
+    return table.scan(where=where).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_files", F.lit(n).cast("long"))
+
+
+@query("SELECT * FROM customer")
+def file_rolling(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer")
+    table = table_like(spark, place(spark), rows)
+    table.append(rows, file_rows=100)
+    return table.scan()
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def stream_append(spark, sf_dir):
+    from ..streaming.sink import write_stream
+
+    rows = read(spark, sf_dir, "events")
+    table = table_like(spark, place(spark), rows)
+    stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/events.parquet*")
+    write_stream(stream, table.location, "events", place(spark)).awaitTermination()
+    return TableLoader(spark, table.location).load().scan()
+
+
+# Partition transforms
+
+
+def _transformed(rows: DataFrame, keys: list[str], column: str, transform: Transform, name: str) -> DataFrame:
+    source = Schema.from_spark(rows.schema).get_field_by_name(column).type
+    return rows.select(*keys, transform.column(F.col(column), source).alias(name))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate AS v FROM lineitem")
+def transform_identity(spark, sf_dir):
+    return _transformed(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_shipdate", Transform("identity"), "v")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(year(l_shipdate) - 1970 AS INTEGER) AS v FROM lineitem")
+def transform_year(spark, sf_dir):
+    return _transformed(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_shipdate", Transform("year"), "v")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST((year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 AS INTEGER) AS v FROM lineitem")
+def transform_month(spark, sf_dir):
+    return _transformed(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_shipdate", Transform("month"), "v")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS v FROM lineitem")
+def transform_day(spark, sf_dir):
+    return _transformed(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_shipdate", Transform("day"), "v")
+
+
+@query("SELECT event_id, CAST(date_diff('hour', TIMESTAMP '1970-01-01', ts) AS INTEGER) AS v FROM events")
+def transform_hour(spark, sf_dir):
+    return _transformed(read(spark, sf_dir, "events"), ["event_id"], "ts", Transform("hour"), "v")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(NULL AS VARCHAR) AS v FROM lineitem")
+def transform_void(spark, sf_dir):
+    return _transformed(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_returnflag", Transform("void"), "v")
+
+
+@query("SELECT o_orderkey, o_custkey - ((o_custkey % 100) + 100) % 100 AS v, o_orderpriority[1:3] AS w FROM orders")
+def transform_truncate(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders")
+    number, text = Primitive("long"), Primitive("string")
+    return rows.select("o_orderkey", Transform("truncate", 100).column(F.col("o_custkey"), number).alias("v"), Transform("truncate", 3).column(F.col("o_orderpriority"), text).alias("w"))
+
+
+def transform_bucket(spark, sf_dir):
+    return _transformed(read(spark, sf_dir, "orders"), ["o_orderkey"], "o_custkey", Transform("bucket", 16), "v")
+
+
+QUERIES["transform_bucket"] = transform_bucket
+
+
+@query("SELECT DISTINCT l_returnflag, CAST(year(l_shipdate) - 1970 AS INTEGER) AS l_shipdate_year FROM lineitem")
+def partition_values(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem")
+    table = table_like(spark, place(spark), rows, by_flag_and_year)
+    return rows.select(*table.current_partition_spec().columns(table.current_schema())).distinct()
+
+
+@query("""
+SELECT 'l_returnflag=' || l_returnflag || '/l_shipdate_year=' || (year(l_shipdate) - 1970) AS path, CAST(count(*) AS BIGINT) AS n
+FROM lineitem GROUP BY 1
+""")
+def partition_path(spark, sf_dir):
+    table = filled(read(spark, sf_dir, "lineitem"), by_flag_and_year)
+    paths = F.regexp_extract("file_path", "/data/(.*)/[^/]*$", 1)
+    return table.files().groupBy(paths.alias("path")).agg(F.sum("record_count").alias("n"))
+
+
+@query("SELECT 'event_type=' || coalesce(nullif(event_type, 'click'), 'null') AS path, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def partition_null_path(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").withColumn("event_type", F.expr("nullif(event_type, 'click')"))
+    table = filled(rows, lambda b: b.identity("event_type"))
+    paths = F.regexp_extract("file_path", "/data/(.*)/[^/]*$", 1)
+    return table.files().groupBy(paths.alias("path")).agg(F.sum("record_count").alias("n"))
+
+
+# Metadata
+
+
+@query("SELECT l_returnflag AS flag, CAST(count(*) AS BIGINT) AS n, CAST(1 AS BIGINT) AS n_files FROM lineitem GROUP BY 1")
+def files_rowcounts(spark, sf_dir):
+    table = filled(read(spark, sf_dir, "lineitem"), by_flag)
+    flag = F.get_json_object("partition", "$.l_returnflag")
+    return table.files().groupBy(flag.alias("flag")).agg(F.sum("record_count").alias("n"), F.countDistinct("partition").alias("n_files"))
+
+
+def _three_commits(spark, sf_dir) -> Table:
+    """Append A and N, append R, delete N."""
+    rows = read(spark, sf_dir, "lineitem")
+    table = filled(rows.filter("l_returnflag in ('A', 'N')"), by_flag)
+    table.append(rows.filter("l_returnflag = 'R'"))
+    table.new_transaction().overwrite_files(delete=_files_of(table, "N")).commit()
+    return TableLoader(spark, table.location).load()
+
+
+_FLAGS = "(SELECT count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem)"
+
+
+@query(f"""
+SELECT CAST(1 AS BIGINT) AS step, CAST(a + n AS BIGINT) AS added, CAST(0 AS BIGINT) AS existing, CAST(0 AS BIGINT) AS deleted FROM {_FLAGS}
+UNION ALL SELECT 2, r, 0, 0 FROM {_FLAGS} UNION ALL SELECT 3, 0, a + r, n FROM {_FLAGS}
+""")
+def manifest_counts(spark, sf_dir):
+    table = _three_commits(spark, sf_dir)
+    lists = [table.manifests(s.snapshot_id) for s in table.metadata.snapshots[1:]]
+    every = lists[0].unionByName(lists[1])
+    return every.select(F.col("sequence_number").alias("step"), F.col("added_rows").alias("added"), F.col("existing_rows").alias("existing"), F.col("deleted_rows").alias("deleted"))
+
+
+@query(f"""
+SELECT 'A' AS flag, CAST(0 AS INTEGER) AS status, CAST(1 AS BIGINT) AS sequence_number, CAST(a AS BIGINT) AS n FROM {_FLAGS}
+UNION ALL SELECT 'N', 2, 1, n FROM {_FLAGS} UNION ALL SELECT 'R', 0, 2, r FROM {_FLAGS}
+""")
+def entries_status(spark, sf_dir):
+    flag = F.get_json_object("partition", "$.l_returnflag").alias("flag")
+    return _three_commits(spark, sf_dir).entries().groupBy(flag, "status", "sequence_number").agg(F.sum("record_count").alias("n"))
+
+
+@query(f"""
+SELECT CAST(1 AS BIGINT) AS step, 'append' AS operation, CAST(a + n AS BIGINT) AS added, CAST(a + n AS BIGINT) AS total, CAST(0 AS BIGINT) AS deleted, CAST(2 AS BIGINT) AS partitions FROM {_FLAGS}
+UNION ALL SELECT 2, 'append', r, a + n + r, 0, 1 FROM {_FLAGS} UNION ALL SELECT 3, 'overwrite', 0, a + r, n, 1 FROM {_FLAGS}
+""")
+def snapshot_summary(spark, sf_dir):
+    stat = lambda key: F.coalesce(F.element_at("summary", key).cast("long"), F.lit(0)).cast("long")
+    snapshots = _three_commits(spark, sf_dir).snapshots().withColumnRenamed("stats", "summary")
+    return snapshots.select(
+        F.col("sequence_number").alias("step"), "operation", stat("added-records").alias("added"), stat("total-records").alias("total"),
+        stat("deleted-records").alias("deleted"), stat("changed-partition-count").alias("partitions"),
+    )
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(NULL AS BIGINT)), (2, 1), (3, 2)) AS t(step, parent_step)")
+def history_parent(spark, sf_dir):
+    s = _three_commits(spark, sf_dir).snapshots()
+    parents = s.select(F.col("snapshot_id").alias("parent_id"), F.col("sequence_number").alias("parent_step"))
+    return s.join(parents, "parent_id", "left").select(F.col("sequence_number").alias("step"), "parent_step")
+
+
+@query(f"SELECT 'A' AS flag, CAST(a AS BIGINT) AS n FROM {_FLAGS} UNION ALL SELECT 'R', r FROM {_FLAGS}")
+def live_files_antijoin(spark, sf_dir):
+    entries = _three_commits(spark, sf_dir).entries()
+    gone = entries.filter(F.col("status") == int(Status.DELETED)).select("file_path")
+    flag = F.get_json_object("partition", "$.l_returnflag").alias("flag")
+    return entries.join(gone, "file_path", "left_anti").groupBy(flag).agg(F.sum("record_count").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('created', CAST(0 AS BIGINT), CAST(0 AS BIGINT)), ('nothing', 1, 0), ('append', 2, 1), ('schema', 3, 1), ('two', 5, 2)) AS t(step, sequence_number, snapshots)")
+def metadata_sequence(spark, sf_dir):
+    table, found = table_like(spark, place(spark), read(spark, sf_dir, "region")), []
+
+    def note(step):
+        m = TableLoader(spark, table.location).load().metadata
+        found.append((step, m.last_sequence_number, len(m.snapshots)))
+
+    note("created")
+    table.new_transaction().do_nothing().commit()
+    note("nothing")
+    table.append(read(spark, sf_dir, "region"))
+    note("append")
+    table.new_transaction().update_schema(SchemaUpdate.for_schema(table.current_schema()).add_field(None, "note", False, "string").apply(0)).commit()
+    note("schema")
+    table.new_transaction().do_nothing().add_operation(OverwriteFiles(everything=True)).commit()
+    note("two")
+    return spark.createDataFrame(found, "step string, sequence_number long, snapshots long")
+
+
+# Schemas
+
+
+def _evolved(spark, sf_dir, name: str, change, then=None) -> Table:
+    """A table of a driver table's rows whose schema was then changed, and rows appended after the change."""
+    rows = read(spark, sf_dir, name)
+    table = filled(rows)
+    table.new_transaction().update_schema(change(table.current_schema(), table.metadata.last_column_id)).commit()
+    if then is not None:
+        table.append(then(rows))
+    return TableLoader(spark, table.location).load()
+
+
+@query("SELECT *, CAST(NULL AS VARCHAR) AS note FROM nation UNION ALL SELECT *, 'new' FROM nation")
+def schema_add(spark, sf_dir):
+    change = lambda s, last: SchemaUpdate.for_schema(s, last).add_field(None, "note", False, "string").apply(0)
+    return _evolved(spark, sf_dir, "nation", change, lambda d: d.withColumn("note", F.lit("new"))).scan()
+
+
+@query("SELECT n_nationkey, n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_regionkey FROM nation")
+def schema_drop(spark, sf_dir):
+    change = lambda s, last: SchemaUpdate.for_schema(s, last).delete_field(s.get_field_by_name("n_name").id).apply(0)
+    return _evolved(spark, sf_dir, "nation", change, lambda d: d.drop("n_name")).scan()
+
+
+@query("SELECT n_nationkey, n_name AS title, n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def schema_rename(spark, sf_dir):
+    change = lambda s, last: SchemaUpdate.for_schema(s, last).rename_field(s.get_field_by_name("n_name").id, "title").apply(0)
+    return _evolved(spark, sf_dir, "nation", change, lambda d: d.withColumnRenamed("n_name", "title")).scan()
+
+
+@query("SELECT * REPLACE (CAST(l_linenumber AS BIGINT) AS l_linenumber) FROM lineitem WHERE l_orderkey % 2 = 0")
+def schema_promote(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").filter("l_orderkey % 2 = 0")
+    table = filled(rows.filter("l_orderkey % 4 = 0"))
+    s = table.current_schema()
+    table.new_transaction().update_schema(SchemaUpdate.for_schema(s).promote_field(s.get_field_by_name("l_linenumber").id, "long").apply(0)).commit()
+    table.append(rows.filter("l_orderkey % 4 <> 0"))
+    return table.scan()
+
+
+@query("""
+SELECT event_id, event_type AS kind, value, CAST(NULL AS BIGINT) AS who FROM events
+UNION ALL SELECT event_id, event_type, value, user_id FROM events
+""")
+def schema_nested_evolve(spark, sf_dir):
+    rows = read(spark, sf_dir, "events")
+    table = filled(rows.select("event_id", F.struct("event_type", "value").alias("e")))
+    s = table.current_schema()
+    e = s.get_field_by_name("e")
+    change = SchemaUpdate.for_schema(s).add_field(e.id, "who", False, "long").rename_field(e.type.fields[0].id, "kind")
+    table.new_transaction().update_schema(change.apply(0)).commit()
+    table.append(rows.select("event_id", F.struct(F.col("event_type").alias("kind"), "value", F.col("user_id").alias("who")).alias("e")))
+    return table.scan().select("event_id", "e.kind", "e.value", "e.who")
+
+
+@query("SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(len(embedding) AS INTEGER) AS n FROM embeddings")
+def schema_list_promote(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    table = filled(rows)
+    s = table.current_schema()
+    wide = replace(s, fields=tuple(replace(f, type=replace(f.type, element=Primitive("double"))) if isinstance(f.type, ListType) else f for f in s.fields))
+    table.new_transaction().update_schema(wide).commit()
+    return table.scan().select("vec_id", F.col("embedding")[0].alias("first"), F.size("embedding").alias("n"))
+
+
+@query("""
+SELECT * FROM (VALUES (1, 'id', 'long', true), (2, 'ts', 'timestamp', false), (5, 'users', 'list', false), (6, 'users.element', 'struct', true),
+  (3, 'users.element.first_name', 'string', true), (4, 'users.element.last_name', 'string', true), (7, 'props', 'map', false), (8, 'props.key', 'string', true),
+  (9, 'props.value', 'double', false)) AS t(id, name, kind, required)
+""")
+def schema_fields(spark, sf_dir):
+    b = SchemaBuilder()
+    b.add(b.new_long("id"), required=True).add(b.new_timestamp("ts"))
+    names = StructType(tuple(replace(b.new_string(n), required=True) for n in ("first_name", "last_name")))
+    b.add(b.new_list("users", names)).add(b.new_map("props", Primitive("string"), Primitive("double")))
+    rows = [(f.id, name, f.type.name if f.is_primitive() else type(f.type).__name__.removesuffix("Type").lower(), f.required) for name, f in b.build().all_fields_by_name().items()]
+    return spark.createDataFrame(rows, "id int, name string, kind string, required boolean")
+
+
+@query("SELECT * FROM (VALUES ('added', 4), ('deleted', 2), ('promoted', 1), ('changed', 3)) AS t(kind, id)")
+def schema_diff(spark, sf_dir):
+    base = Schema.from_spark(read(spark, sf_dir, "nation").schema)
+    a, _, c = base.fields
+    b = SchemaBuilder()
+    target = Schema(1, (replace(a, type=Primitive("long")), replace(c, name="region"), replace(b.new_string("note"), id=4)))
+    u = SchemaUpdate.between(base, target)
+    rows = [("added", f.id) for f in u.added_fields()] + [("deleted", i) for i in u.deleted_fields()] + [("promoted", i) for i in u.promoted] + [("changed", i) for i in u.changed]
+    return spark.createDataFrame(rows, "kind string, id int")
+
+
+@query("SELECT event_id, event_type AS a, value AS b, [user_id, event_id] AS c, value AS d FROM events")
+def nested_types_roundtrip(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select(
+        "event_id", F.struct("event_type", "value").alias("s"), F.array("user_id", "event_id").alias("l"), F.create_map(F.lit("v"), "value").alias("m")
+    )
+    return filled(rows).scan().select("event_id", F.col("s.event_type").alias("a"), F.col("s.value").alias("b"), F.col("l").alias("c"), F.col("m")["v"].alias("d"))
+
+
+# Values
+
+
+@query("""
+SELECT printf('%02x%02x%02x%02x', l_linenumber & 255, (l_linenumber >> 8) & 255, (l_linenumber >> 16) & 255, (l_linenumber >> 24) & 255) AS bytes,
+       CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1
+""")
+def value_bytes_int(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").groupBy(little_endian_hex(F.col("l_linenumber")).alias("bytes")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS shown FROM events")
+def value_display_timestamp(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", display_timestamp(F.col("ts")).alias("shown"))
+
+
+@query("SELECT l_returnflag AS flag, min(l_quantity) AS low, max(l_quantity) AS high, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem GROUP BY 1")
+def column_bounds(spark, sf_dir):
+    table = filled(read(spark, sf_dir, "lineitem"), by_flag)
+    quantity, shipped = (table.current_schema().get_field_by_name(n) for n in ("l_quantity", "l_shipdate"))
+    # On the driver: bounds of the files of a table, which a scan's planning holds there too.
+    rows = []
+    for f, _ in table.live_files():
+        low, high = ([values.from_bytes(b[x.id], x.type) for x in (quantity, shipped)] for b in (f.lower_bounds, f.upper_bounds))
+        rows.append((f.partition["l_returnflag"], low[0], high[0], low[1], high[1]))
+    found = spark.createDataFrame(rows, "flag string, low double, high double, first timestamp_ntz, last timestamp_ntz")
+    return found.groupBy("flag").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"))

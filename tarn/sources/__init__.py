@@ -1 +1 @@
-"""Part of the engine."""
+"""Where tables are read from: storage, Avro documents, loaders and scans."""

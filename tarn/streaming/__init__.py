@@ -1 +1 @@
-"""Part of the engine."""
+"""Streams into tables."""
