@@ -94,11 +94,11 @@ def to_json(v: Any, t: Type) -> Any:
     if t.name == "date":
         return v.isoformat()
     if t.name == "time":
-        return v.strftime("%H:%M:%S.%f")
+        return v.isoformat("microseconds")
     if t.name == "timestamp":
-        return v.strftime("%Y-%m-%dT%H:%M:%S.%f")
+        return v.isoformat(timespec="microseconds")
     if t.name == "timestamptz":
-        return v.astimezone(dt.UTC).strftime("%Y-%m-%dT%H:%M:%S.%f+00:00")
+        return v.astimezone(dt.UTC).isoformat(timespec="microseconds")
     if t.name in ("uuid", "decimal"):
         return str(v)
     return bytes(v).hex() if t.name in ("fixed", "binary") else v

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 from pathlib import Path
-from urllib.parse import quote, unquote, urlparse
+from urllib.parse import urlparse
 
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
@@ -29,8 +29,9 @@ class Storage:
         parts = urlparse(url if "://" in url or url.startswith("file:") else f"file://{os.path.abspath(url)}")
         if parts.scheme != "file" and not parts.netloc:
             raise InvalidTableLocation(f"{url} names no bucket or host")
-        self.local = Path(unquote(parts.path)) if parts.scheme == "file" else None
-        self.location = f"file://{quote(str(self.local))}" if self.local else url.rstrip("/")
+        # As in Hadoop's paths, a % in a URI is a % in the path.
+        self.local = Path(parts.path) if parts.scheme == "file" else None
+        self.location = f"file://{self.local}" if self.local else url.rstrip("/")
         if not self.local:
             jvm = spark._jvm
             try:
@@ -40,15 +41,14 @@ class Storage:
                 raise InvalidTableLocation(f"no storage serves {url}: {e}") from e
 
     def to_uri(self, path: str) -> str:
-        return f"{self.location}/{quote(path) if self.local else path}"
+        return f"{self.location}/{path}"
 
     def relative(self, uri: str) -> str:
         """The path of a URI in the table; raises for others."""
         uri = f"file://{uri}" if uri.startswith("/") else uri.replace("file:///", "file:/").replace("file:/", "file:///")
         if not uri.startswith(f"{self.location}/"):
             raise InvalidPath(f"{uri} is outside {self.location}")
-        rest = uri.removeprefix(f"{self.location}/")
-        return unquote(rest) if self.local else rest
+        return uri.removeprefix(f"{self.location}/")
 
     def _hadoop(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.location}/{path}")
@@ -132,5 +132,5 @@ def data_path(file_name: str, partition_path: str) -> str:
 def open_uri(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a URI, for tasks."""
     if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), unquote(urlparse(uri).path)
+        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://").replace("s3n://", "s3://"))

@@ -32,15 +32,27 @@ OPERATORS: dict[str, Callable] = {
     "=": lambda c, v: c == v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, ">=": lambda c, v: c >= v,
     "in": lambda c, v: c.isin(list(v)), "is-null": lambda c, v: c.isNull(), "not-null": lambda c, v: c.isNotNull(),
 }
-ENTRIES = T.StructType.fromDDL(
-    "status int, snapshot_id bigint, sequence_number bigint, file_sequence_number bigint, spec_id int, content int, file_path string, file_format string, "
-    "partition string, record_count bigint, file_size_in_bytes bigint, column_sizes map<int,bigint>, value_counts map<int,bigint>, "
-    "null_value_counts map<int,bigint>, lower_bounds map<int,binary>, upper_bounds map<int,binary>, sort_order_id int"
-)
-MANIFESTS = T.StructType.fromDDL(
-    "manifest_path string, manifest_length bigint, partition_spec_id int, content int, sequence_number bigint, min_sequence_number bigint, "
-    "added_snapshot_id bigint, added_files int, existing_files int, deleted_files int, added_rows bigint, existing_rows bigint, deleted_rows bigint"
-)
+_SCALARS = {"int": T.IntegerType(), "long": T.LongType(), "string": T.StringType()}
+
+
+def _columns(kind: str, names: str) -> list[T.StructField]:
+    return [T.StructField(n, _SCALARS[kind]) for n in names.split()]
+
+
+def _by_field(value: T.DataType, names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.MapType(T.IntegerType(), value)) for n in names.split()]
+
+
+ENTRIES = T.StructType([
+    *_columns("int", "status"), *_columns("long", "snapshot_id sequence_number file_sequence_number"), *_columns("int", "spec_id content"),
+    *_columns("string", "file_path file_format partition"), *_columns("long", "record_count file_size_in_bytes"),
+    *_by_field(T.LongType(), "column_sizes value_counts null_value_counts"), *_by_field(T.BinaryType(), "lower_bounds upper_bounds"), *_columns("int", "sort_order_id"),
+])
+MANIFESTS = T.StructType([
+    *_columns("string", "manifest_path"), *_columns("long", "manifest_length"), *_columns("int", "partition_spec_id content"),
+    *_columns("long", "sequence_number min_sequence_number added_snapshot_id"), *_columns("int", "added_files existing_files deleted_files"),
+    *_columns("long", "added_rows existing_rows deleted_rows"),
+])
 #: Manifests that the driver reads itself; more are read by tasks.
 ON_DRIVER = 64
 
