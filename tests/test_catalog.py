@@ -69,5 +69,5 @@ def test_entry_without_the_training_data_subpackage(tmp_path):
         if "tests" not in at.parts and "llm" not in at.parts and at.name != "corpus_pipeline.py":
             (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
             (tmp_path / at).write_text(p.read_text())
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'scan_aggregate' in q and "op3_exact_dedup" not in q; assert e.oracle_sql()"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'scan_aggregate' in q and 'op3_exact_dedup' not in q; assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path), "HOME": "/root"})
