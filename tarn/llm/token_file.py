@@ -37,13 +37,14 @@ HEAD, HEAD_BYTES = "<8s6Q", struct.calcsize("<8s6Q")
 #: Tokens of a shard: it ends with the document that reaches them.
 SHARD = 1 << 19
 #: A round replaces the pairs seen at least LEAST times, and at least an EIGHTH as often as the commonest; at most PAIRS.
-ROUNDS, LEAST, EIGHTH, PAIRS = 12, 12, 8, 8192
-#: Words, and pieces of words, whose ids a task remembers.
-REMEMBERED = 150_000
+ROUNDS, LEAST, EIGHTH, PAIRS = 8, 12, 8, 8192
+#: Units, and other words, whose ids a task remembers.
+REMEMBERED = 400_000
 END = 1
-#: Letters then punctuation, of ASCII and Latin-1, where case folding and normal forms depend on single characters only
-#: and the vocabulary's pattern parts letters from punctuation. Anything else goes to the tokenizer as it is.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Characters for which case folding and normal forms depend on nothing else: ASCII without controls, letters of Latin-1.
+SIMPLE = re.compile(r"[ \n!-~À-ÖØ-öø-ÿ]*")
+#: The units that the vocabulary's pattern parts such characters, in lower case, into (fixed pattern).
+UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 def repair(tokens: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,10 +178,10 @@ class Shard:
 
 
 class WordEncoder:
-    """Ids of whole texts, word by word: no token of this kind of vocabulary spans white space.
+    """Ids of whole texts, unit by unit: no token of this kind of vocabulary spans the units of its pattern.
 
-    Holds for vocabularies whose pattern drops white space and never matches across it, as the word-end kind's does.
-    Remembers the ids of words and of their lower-case pieces.
+    Simple text is parted by UNITS and each new unit goes to the vocabulary's own model; other text goes to the tokenizer
+    as it is, word by word (its pattern drops white space and never matches across it). Ids are remembered.
     """
 
     def __init__(self, model: str):
@@ -189,38 +190,52 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.model = self.tokenizer.model
+        # The byte-level alphabet: printable bytes stand for themselves, the rest for code points from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {"": b""}
-        parts = {}
-        for w in words:
-            m = SIMPLE.fullmatch(w)
-            parts[w] = (m[1].lower(), m[2]) if m else (w,)
-        new = list({p for ps in parts.values() for p in ps} - self.pieces.keys())
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.pieces[p] = np.array(e.ids, "<u4").tobytes()
-        for w, ps in parts.items():
-            self.words[w] = b"".join([self.pieces[p] for p in ps])
+
+    def _unit(self, unit: str) -> bytes:
+        shown = unit if unit.isascii() else "".join([self.byte_chars[b] for b in unit.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+
+    def _simple(self, text: str) -> list[bytes]:
+        units, get = UNITS.findall(text.lower()), self.units.get
+        got = list(map(get, units))
+        if None in got:
+            if len(self.units) > REMEMBERED:
+                self.units.clear()
+            own = self.units
+            for k, ids in enumerate(got):
+                if ids is None:
+                    unit = units[k]
+                    if (ids := own.get(unit)) is None:
+                        ids = own[unit] = self._unit(unit)
+                    got[k] = ids
+        return got
+
+    def _other(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) > REMEMBERED // 4:
+                self.words.clear()
+            ids = self.words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text and END."""
-        words = text.replace("\n", " ").split(" ")
-        out, get = [], self.words.get
-        for k in range(0, len(words), 1 << 14):
-            part = words[k : k + (1 << 14)]
-            got = list(map(get, part))
-            if None in got:
-                self._learn({w for w, g in zip(part, got, strict=True) if g is None})
-                got = [get(w) if g is None else g for w, g in zip(part, got, strict=True)]
-                if None in got:  # forgotten to make room for the new ones
-                    self._learn(set(part))
-                    got = list(map(get, part))
-            out += got
+        if "<|" not in text and SIMPLE.fullmatch(text):
+            out = self._simple(text)
+        else:
+            out = []
+            for word in text.replace("\n", " ").split(" "):
+                if "<|" not in word and SIMPLE.fullmatch(word):
+                    out += self._simple(word)
+                else:
+                    out.append(self._other(word))
         out.append(END.to_bytes(4, "little"))
         return np.frombuffer(b"".join(out), "<u4")
 
