@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from ..model.evolution import SchemaUpdate
 from ..model.manifests import DataFile, Status
 from ..model.types import ListType, Primitive, Schema, SchemaBuilder, StructType
 from ..operators.transaction import OverwriteFiles
+from ..sources.storage import open_uri
 from ..sources.table import Table, TableLoader, table_like
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,9 +140,11 @@ def overwrite_all(spark, sf_dir):
 def register_files(spark, sf_dir):
     rows = read(spark, sf_dir, "part")
     table = table_like(spark, place(spark), rows)
-    found = rows.inputFiles()
-    n = rows.count()
-    table.add_files([DataFile(p.replace("file:///", "file:///"), n if k == 0 else 0, 1) for k, p in enumerate(found)])
+    files = []
+    for uri in rows.inputFiles():
+        fs, path = open_uri(uri)
+        files.append(DataFile(uri, pq.read_metadata(path, filesystem=fs).num_rows, fs.get_file_info(path).size))
+    table.add_files(files)
     return TableLoader(spark, table.location).load().scan()
 
 
