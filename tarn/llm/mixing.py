@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, keyed, n_words
+from .common import cut, n_words
 
 #: Words of a block.
 BLOCK = 256
@@ -49,7 +49,7 @@ def _positions(rows: DataFrame, sizes: list[tuple[str | None, int, int]]) -> Dat
     spark = rows.sparkSession
     most = max([n for _, _, n in sizes], default=1)
     bits = min(31, max(0, math.ceil(math.log2(max(1, most / SORTED)))))
-    rows = rows.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    rows = rows.withColumn("order", F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("range", F.shiftright(F.conv(F.substring("order", 1, 8), 16, 10).cast("long"), 32 - bits))
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("of_range"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,11 +107,12 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     block: int = BLOCK,
+    order_key: Column | None = None,
 ) -> DataFrame:
     """The pieces of documents that a mix of the sources takes, in the order of its slots.
 
     Sources in code point order (null last) weigh ``weights``, repeating, and share ``share`` times the size of all
-    documents, each at most ``most`` times its own size (see targets()). A source's documents, shuffled by md5 of the id,
+    documents, each at most ``most`` times its own size (see targets()). A source's documents, shuffled by md5 of the id (or of ``order_key``),
     form one stream of words, repeated as often as its target needs, and cut into blocks of ``block`` words; slot after
     slot the schedule takes the next block of the source that its point names. The last block of a source is cut short,
     so that each source gives exactly floor(target) words.
@@ -125,7 +126,8 @@ def mix(
     """
     spark = docs.sparkSession
     words = n_words(F.col(f"`{text_col}`")) if size is None else F.coalesce(size.cast("long"), F.lit(0))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), words.alias("size"))
+    key = F.col(f"`{id_col}`") if order_key is None else order_key
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), words.alias("size"), key.alias("key"))
     rows = cut(rows, "mix-sizes")
     per = rows.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect()
     sizes = sorted(((r[0], r[1], r[2]) for r in per), key=lambda r: (r[0] is None, (r[0] or "").encode()))
@@ -163,7 +165,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     key = F.xxhash64(F.col(f"`{text_col}`"))
     ids = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), key.alias("key")).alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))
-    times = taken(mix(ids, **how)).filter("size > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    times = taken(mix(ids, order_key=F.col("doc_id.id"), **how)).filter("size > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
     times = times.filter("_times > 0").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.key").alias("_key"), "_times")
     met = docs.join(times, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (key == F.col("_key")))
     return met.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_key", "_times", "_nth")
