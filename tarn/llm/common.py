@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +25,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tarn-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -42,6 +44,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def worker_cache() -> dict:
+    """What a Python worker keeps from task to task. (Functions come to it by value, each time with globals of their own.)"""
+    return sys.modules.setdefault("_tarn_worker_cache", types.ModuleType("_tarn_worker_cache")).__dict__
+
+
 def keyed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under this library's own names: whatever else df holds can't clash."""
     return df.select(*[F.col(f"`{theirs}`").alias(ours) for ours, theirs in columns.items()])

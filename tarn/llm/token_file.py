@@ -20,6 +20,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, in_ranges, keyed, partitions, shared_dir, small_batches
+from .common import cut, in_ranges, keyed, partitions, shared_dir, small_batches, worker_cache
 from .shared_files import create, new_file, read_range
 
 MAGIC = b"TARNRP1\0"
@@ -38,8 +39,8 @@ HEAD, HEAD_BYTES = "<8s6Q", struct.calcsize("<8s6Q")
 SHARD = 1 << 19
 #: A round replaces the pairs seen at least LEAST times, and at least an EIGHTH as often as the commonest; at most PAIRS.
 ROUNDS, LEAST, EIGHTH, PAIRS = 8, 12, 8, 8192
-#: Units, and other words, whose ids a task remembers.
-REMEMBERED = 400_000
+#: Units, and other words, whose ids a worker remembers.
+REMEMBERED = 600_000
 END = 1
 #: Characters for which case folding and normal forms depend on nothing else: ASCII without controls, letters of Latin-1.
 SIMPLE = re.compile(r"[ \n!-~À-ÖØ-öø-ÿ]*")
@@ -198,9 +199,18 @@ class WordEncoder:
         self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    @classmethod
+    def of(cls, model: str) -> WordEncoder:
+        """The worker's own encoder of this vocabulary, with what it has learned in earlier tasks."""
+        key = f"encoder-{zlib.crc32(model.encode())}"
+        cache = worker_cache()
+        if key not in cache:
+            cache[key] = cls(model)
+        return cache[key]
+
     def _unit(self, unit: str) -> bytes:
         shown = unit if unit.isascii() else "".join([self.byte_chars[b] for b in unit.encode()])
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _simple(self, text: str) -> list[bytes]:
         units, get = UNITS.findall(text.lower()), self.units.get
@@ -273,7 +283,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
 
         part = 0
         for batch in batches:
-            encoder = encoder or WordEncoder(model)
+            encoder = encoder or WordEncoder.of(model)
             for i, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = encoder.encode(text or "")
                 ids.append(i), counts.append(len(tokens)), parts.append(tokens)
