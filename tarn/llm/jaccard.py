@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, keyed, maybe_in, small_batches, without
@@ -19,8 +19,10 @@ from .components import components
 SAMPLE = 400
 #: What a false candidate costs, in signatures.
 CANDIDATE = 50.0
-#: Rounds with one centre for each component of a bucket; the round after them takes all that are left.
-ROUNDS = 3
+#: Bits of a set's sketch: bit b is the parity of its tokens whose hash is b, so two sketches differ in no more bits than
+#: the sets do in tokens. As columns, one for each 64 bits.
+SKETCH = 512
+_SKETCH = [f"s{i}" for i in range(SKETCH // 64)]
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
 
@@ -153,22 +155,37 @@ def _node(h: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.uint64(x).astype(np.int64)) for x in (d >> 64, d & (2**64 - 1)))
 
 
+def _sketch(h: np.ndarray) -> np.ndarray:
+    parity = np.bincount((h >> np.uint64(23)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sets(rows: DataFrame, width: int, seed: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, high, node = [], [], []
+            n, high, node, sketch = [], [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingle_hashes(words_of(text), width, seed)
                 a, b = _node(h)
-                n.append(len(h)), high.append(a), node.append(b)
+                n.append(len(h)), high.append(a), node.append(b), sketch.append(_sketch(h))
+            bits = np.stack(sketch) if sketch else np.zeros((0, len(_SKETCH)), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(node, pa.int64())],
-                names=["doc_id", "n_shingles", "high", "node"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(node, pa.int64())]
+                + [pa.array(np.ascontiguousarray(c)) for c in bits.T],
+                names=["doc_id", "n_shingles", "high", "node", *_SKETCH],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, high long, node long")
+    schema = f"doc_id {kind}, n_shingles long, high long, node long, " + ", ".join(f"{c} long" for c in _SKETCH)
+    return rows.mapInArrow(run, schema)
+
+
+def _may_link(a: str, b: str, num: int, den: int) -> Column:
+    """Whether sets of two aliased rows may be similar, by size and sketch: true for all that are."""
+    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _SKETCH[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    return (F.greatest(n, m) * num <= F.least(n, m) * den) & (differ * (den + num) <= (n + m) * (den - num))
 
 
 def _offers(rows: DataFrame, width: int, seed: int, schemes: list[Scheme]) -> DataFrame:
@@ -234,10 +251,11 @@ def jaccard_classes(
     """doc_id, n_shingles, component_id of each row: classes of documents linked by shingle sets with Jaccard >= num / den.
 
     Equal sets are one node from the start. A node offers signatures (see Scheme); nodes that share one are a bucket.
-    Each bucket's least node is compared with its others, exactly, on the texts' own shingles. What then still lies in
-    different components of a bucket is compared in rounds: all but the largest component's nodes with the bucket's
-    nodes of other components, first one node for each component and round, at last all that are left. So every pair
-    that shares a signature ends either compared or in one component, and no bucket of copies is expanded into pairs.
+    Each bucket's least node is compared with its others, exactly, on the texts' own shingles. Nodes of a bucket that are
+    then in different components are compared too, all but those of its largest component with each node elsewhere. Before
+    texts are fetched, sizes and sketches rule out pairs that differ in too many tokens; that never loses a link and keeps
+    a bucket of near copies just below the threshold from becoming rows. So every pair that shares a signature ends
+    compared, ruled out or in one component.
 
     Whole texts; A-Z are lower-cased. A null or wordless text has 0 shingles and is linked with nothing; its component
     is its own id. component_id is the least id of the component, nulls left aside. Rows of equal ids are rows of their
@@ -250,7 +268,7 @@ def jaccard_classes(
     for seed in range(8):
         sets = cut(_sets(rows, width, seed), "jaccard-sets")
         nodes = cut(
-            sets.filter("n_shingles > 0").groupBy("node", "high", "n_shingles").agg(F.min("doc_id").alias("rep")), "jaccard-nodes"
+            sets.filter("n_shingles > 0").groupBy("node", "high", "n_shingles", *_SKETCH).agg(F.min("doc_id").alias("rep")), "jaccard-nodes"
         )
         if nodes.groupBy("node").count().filter("count > 1").isEmpty():
             break
@@ -271,30 +289,29 @@ def jaccard_classes(
     named = members.select("node").distinct().join(nodes, "node").select("node", "rep")
     texts = cut(_texts(rows, named, width, seed), "jaccard-texts")
 
-    done = members.filter("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
-    links = done = cut(done, "jaccard-pairs")
-    links = cut(_linked(done, texts, width, num, den), "jaccard-links")
+    sketched = nodes.select("node", "n_shingles", *_SKETCH)
+    stars = members.filter("node <> centre").select("centre", "node").distinct()
+    stars = stars.join(sketched.alias("b"), "node").select("centre", F.struct("b.node", "b.n_shingles", *[f"b.{c}" for c in _SKETCH]).alias("b"))
+    stars = stars.join(sketched.alias("a"), F.col("centre") == F.col("a.node")).filter(_may_link("a", "b", num, den))
+    stars = cut(stars.select(F.col("centre").alias("u"), F.col("b.node").alias("v")), "jaccard-pairs")
+    links = cut(_linked(stars, texts, width, num, den), "jaccard-links")
     comps = cut(components(links), "jaccard-components")
-    used = members.select("sig", F.col("centre").alias("node")).distinct()
-    for k in range(ROUNDS + 1):
-        placed = members.select("sig", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = placed.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("sig")
-        placed = cut(placed.join(mixed, "sig", "left_semi"), "jaccard-placed")
-        sizes = placed.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("sig").agg(F.max(F.struct("n", "comp")).alias("main")).select("sig", F.col("main.comp").alias("main"))
-        rest = placed.join(main, "sig").filter("comp <> main").join(used, ["sig", "node"], "left_anti")
-        if k < ROUNDS:
-            rest = rest.groupBy("sig", "comp").agg(F.min("node").alias("node"))
-        centres = cut(rest.select("sig", F.col("node").alias("c"), F.col("comp").alias("c_comp")), "jaccard-centres")
-        if centres.isEmpty():
-            break
-        new = placed.join(centres, "sig").filter("comp <> c_comp")
-        new = new.select(F.least("c", "node").alias("u"), F.greatest("c", "node").alias("v")).distinct()
-        new = cut(new.join(done, ["u", "v"], "left_anti"), "jaccard-pairs")
-        links = cut(links.unionByName(_linked(new, texts, width, num, den)), "jaccard-links")
-        done = done.unionByName(new)
-        used = used.unionByName(centres.select("sig", F.col("c").alias("node")))
-        comps = cut(components(links), "jaccard-components")
+
+    placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("sig")
+    placed = cut(placed.join(mixed, "sig", "left_semi"), "jaccard-placed")
+    sizes = placed.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("sig").agg(F.max(F.struct("n", "comp")).alias("main")).select("sig", F.col("main.comp").alias("main"))
+    placed = cut(placed.join(main, "sig").join(sketched, "node"), "jaccard-placed")
+    a, b = placed.filter("comp <> main").alias("a"), placed.alias("b")
+    # Of two rows outside the main component the pair comes once; pairs with the centre were compared before.
+    once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+    new = (F.col("a.node") != F.col("a.centre")) & (F.col("b.node") != F.col("b.centre"))
+    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.comp") != F.col("b.comp")) & once & new & _may_link("a", "b", num, den))
+    pairs = cut(pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct(), "jaccard-pairs")
+    more = cut(_linked(pairs, texts, width, num, den), "jaccard-links")
+    if not more.isEmpty():
+        comps = cut(components(links.unionByName(more)), "jaccard-components")
     least = comps.join(nodes.select("node", "rep"), "node").groupBy("comp").agg(F.min("rep").alias("least"))
     of_node = comps.join(least, "comp").select("node", "least")
     of_node = nodes.select("node", "rep").join(of_node, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
