@@ -113,14 +113,20 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Classes whose counts may be broadcast (at most a few MB); beyond, they are joined by shuffle.
+FEW_CLASSES = 10_000
+
+
 def sample_by_class(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
     """At most ``most`` rows of each class, those whose key's hash is lowest; the same ones at every run.
 
-    A first filter by hash leaves about 4 * most rows a class at least, so that the ranking sees few rows of a large class.
+    A first filter by hash leaves about 4 * most rows a class, so that the ranking sees few rows of a large class.
     """
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(label, "_label")
+    spark = rows.sparkSession
+    counts = cut(rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(label, "_label"), "classes")
+    few = spark.createDataFrame(counts.take(FEW_CLASSES), counts.schema) if counts.count() <= FEW_CLASSES else None
     spot = F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col(key)), 33)
-    near = rows.withColumn("_spot", spot).join(counts, F.col(label) == F.col("_label"))
+    near = rows.withColumn("_spot", spot).join(counts if few is None else F.broadcast(few), F.col(label) == F.col("_label"))
     near = near.filter(F.col("_spot") * F.col("_n") <= F.lit(float(1 << 31)) * (4.0 * most))
     nth = F.row_number().over(Window.partitionBy(label).orderBy("_spot", key))
     return near.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_spot", "_n", "_label", "_nth")
