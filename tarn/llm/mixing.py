@@ -16,7 +16,7 @@ BLOCK = 256
 #: The golden ratio's fraction in units of 2**-32 (fixed value); slot i's point is i * GOLDEN mod 2**32.
 GOLDEN, UNIT = 2654435769, 1 << 32
 #: Rows that one task sorts at once, about; and slots that it numbers.
-SORTED, CHUNK = 20_000, 1 << 16
+SORTED, CHUNK = 4_000, 1 << 16
 #: Cells of the unit interval by which points find their source.
 CELLS = 1 << 12
 
