@@ -9,8 +9,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tarn.plans import catalog
+from tarn.sources.table import TableLoader
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -52,6 +54,22 @@ def test_query(spark, sql, name):
     assert a == b
 
 
+def test_promotion_is_over_the_whole_table(spark, tmp_path, monkeypatch):
+    """Every row of lineitem is appended, some before the promotion and some after, and scanned."""
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    for k, name in enumerate(("schema_promote", "schema_promote_whole")):
+        monkeypatch.setattr(catalog, "place", lambda _, k=k: f"file://{tmp_path}/{k}")
+        df = catalog.QUERIES[name](spark, str(DATA))
+        assert dict(df.dtypes)["l_linenumber"] == "bigint"
+        table = TableLoader(spark, f"file://{tmp_path}/{k}").load()
+        records = [f.record_count for f, _ in table.live_files()]
+        assert sum(records) == table.scan().count() == lines.count()
+        assert sorted(r["n"] for r in table.entries().groupBy("sequence_number").agg(F.sum("record_count").alias("n")).collect()) == sorted(
+            lines.filter(c).count() for c in ("l_linenumber <= 3", "l_linenumber > 3")
+        )
+    assert df.count() == lines.count()
+
+
 def test_bucket_query_against_the_scalar_form(spark):
     from tarn.functions.transforms import Transform
     from tarn.model.types import Primitive
