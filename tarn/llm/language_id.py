@@ -26,7 +26,7 @@ TOGETHER = 64
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII other than letters becomes a space; bytes of longer UTF-8 sequences stay.
 _PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-#: Odd multipliers of the n-gram hash (fixed values).
+#: Odd multiplier of the n-gram hash (fixed value).
 _MIX = np.uint32(2654435761)
 
 
@@ -39,7 +39,8 @@ def presence(text: str, into: np.ndarray) -> None:
             break
         if n > 1:
             code = (code[:-1] << np.uint32(8)) | b[n - 1 :]
-        into[base + (code if slots == 256 else ((code * _MIX) >> np.uint32(12)) % np.uint32(slots))] = 1
+        # The product's highest bits depend on all bytes of an n-gram; slots is a power of two.
+        into[base + (code if slots == 256 else (code * _MIX) >> np.uint32(33 - slots.bit_length()))] = 1
         base += slots
 
 

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tarn.llm import fingerprint as fp
+from tarn.llm import language_id as lid
 from tarn.llm.language_id import KernelModel, annotate, fit_language_model, identify
 from tarn.llm.quality import CompressionModel, fit_quality_model, score_quality
 
@@ -106,6 +107,23 @@ def test_language(spark):
     assert sorted(map(str, identify(other, fit_language_model(other)).collect())) == sorted(map(str, got.values()))
 
 
+def test_all_bytes_of_an_n_gram_count():
+    """n-grams that differ in one byte only, whichever it is, spread over the slots."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    assert all(s & (s - 1) == 0 for s in lid.SLOTS)
+    for n in (2, 3, 4):
+        for at in range(n):
+            for rest in ("hen", "ion"):
+                seen = set()
+                for c in letters:
+                    into = np.zeros(lid.WIDTH, np.uint8)
+                    lid.presence((rest[:at] + c + rest[at:])[:n], into)
+                    base = sum(lid.SLOTS[: n - 1])
+                    (slot,) = np.flatnonzero(into[base : base + lid.SLOTS[n - 1]])
+                    seen.add(int(slot))
+                assert len(seen) >= 24, (n, at, rest)
+
+
 def test_language_edges(spark):
     df = documents(spark, ODD, lang=[None] * len(ODD))
     nothing = fit_language_model(df)
