@@ -38,7 +38,8 @@ HEAD, HEAD_BYTES = "<8s6Q", struct.calcsize("<8s6Q")
 #: Tokens of a shard: it ends with the document that reaches them.
 SHARD = 1 << 19
 #: A round replaces the pairs seen at least LEAST times, and at least an EIGHTH as often as the commonest; at most PAIRS.
-ROUNDS, LEAST, EIGHTH, PAIRS = 8, 12, 8, 8192
+#: Rounds follow until no pair is seen LEAST times.
+LEAST, EIGHTH, PAIRS = 12, 8, 8192
 #: Units, and other words, whose ids a worker remembers.
 REMEMBERED = 600_000
 END = 1
@@ -56,9 +57,7 @@ def repair(tokens: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray,
     """
     s, rules, lengths = tokens.astype(np.uint32), [], [np.ones(terminals, np.uint32)]
     n = terminals
-    for _ in range(ROUNDS):
-        if len(s) < 2:
-            break
+    while len(s) > 1:
         key = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
         ordered = np.sort(key)
         edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])

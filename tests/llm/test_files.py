@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarn.llm.token_file import END, Shard, WordEncoder, encode_shard, expand, read_tokens, repair, token_digests, write_tokens
+from tarn.llm.token_file import END, LEAST, Shard, WordEncoder, encode_shard, expand, read_tokens, repair, token_digests, write_tokens
 from tarn.llm.warc import decode_record, encode_record, read_archives, train, write_archives
 
 from .helpers import ODD, clashing, documents, prose, with_repeats
@@ -47,6 +47,17 @@ def test_repair_compresses():
     assert len(symbols) + 2 * len(pairs) < len(tokens) / 5
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    """Long copies among other tokens: rules longer than eight rounds make, and no frequent pair of symbols is left."""
+    r = np.random.default_rng(1)
+    copy = r.integers(0, 3000, 2000)
+    tokens = np.concatenate([np.r_[copy, r.integers(0, 3000, k % 7)] for k in range(200)]).astype(np.uint32)
+    symbols, pairs, lengths = repair(tokens, 3000)
+    count = np.unique((symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:], return_counts=True)[1]
+    assert count.max() < LEAST and lengths.max() > 256
+    assert (expand(symbols, pairs, 3000) == tokens).all()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("abcXYZ ''ssttrree\n\n09.,!<|>éÉßÀñ́\t\x1c ÿµªⅧΣ漢😀İ"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_words_are_encoded_as_the_library_does(encoder, text):
