@@ -70,6 +70,21 @@ def test_promotion_is_over_the_whole_table(spark, tmp_path, monkeypatch):
     assert df.count() == lines.count()
 
 
+def test_list_promotion_is_of_whole_vectors(spark, tmp_path, monkeypatch):
+    """Old float files and new double files are scanned together, and every element is as it was."""
+    vectors = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    want = {r["vec_id"]: list(r["embedding"]) for r in vectors.collect()}
+    for k, name in enumerate(("schema_list_promote", "schema_list_promote_whole")):
+        monkeypatch.setattr(catalog, "place", lambda _, k=k: f"file://{tmp_path}/{k}")
+        df = catalog.QUERIES[name](spark, str(DATA))
+        table = TableLoader(spark, f"file://{tmp_path}/{k}").load()
+        assert sum(f.record_count for f, _ in table.live_files()) == df.count() == len(want)
+        kinds = {spark.read.parquet(f.file_path).schema["embedding"].dataType.elementType.simpleString() for f, _ in table.live_files() if f.record_count}
+        assert kinds == {"float", "double"}
+    assert dict(df.dtypes)["embedding"] == "array<double>"
+    assert {r["vec_id"]: list(r["embedding"]) for r in df.collect()} == want
+
+
 def test_bucket_query_against_the_scalar_form(spark):
     from tarn.functions.transforms import Transform
     from tarn.model.types import Primitive
