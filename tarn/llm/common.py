@@ -7,7 +7,9 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,17 +20,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Folders made for sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI under spark.checkpoint.dir, which driver and executors share.
 
-    Where the session names no such folder (as in tests, in local mode) one is made and set for the session.
+    Where the session names no such folder, one is made, in local mode (as in tests) only.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
+        context = spark.sparkContext
+        if context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tarn-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tarn-shared-")
+        base = _LOCAL[context.applicationId]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -37,7 +45,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["cut_path"] = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once everything made of them is itself written."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.__dict__["cut_path"])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches (of 64 MB at most, by Spark's own setting) in slices whose Python objects are few at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -51,7 +76,7 @@ def worker_cache() -> dict:
 
 def keyed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under this library's own names: whatever else df holds can't clash."""
-    return df.select(*[F.col(f"`{theirs}`").alias(ours) for ours, theirs in columns.items()])
+    return df.select(*[column(theirs).alias(ours) for ours, theirs in columns.items()])
 
 
 def n_words(text: Column) -> Column:
@@ -60,47 +85,59 @@ def n_words(text: Column) -> Column:
     return F.length(F.regexp_replace(marks, GAP, "")).cast("long")
 
 
-#: Bits of a membership bitmap. Fixed, so that the broadcast (a long and an int a word of 64 bits) never exceeds 4 MB;
-#: with far more keys than bits it lets more rows through, never fewer.
-BITMAP_BITS = 1 << 22
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that begin with these and that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    return [next(c for n in range(len(taken) + 1) if (c := f"{stem}{n or ''}").lower() not in taken) for stem in stems]
+
+
+def column(name: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _bit(key: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(bits))
+#: Bits of a membership bitmap: about 16 for each key, in these bounds; so that the broadcast (a long and an int a word
+#: of 64 bits) never exceeds some 20 MB. With more keys than bits it lets more rows through, never fewer: what is left to
+#: do is then a plain join by shuffle.
+BITMAP_BITS = (1 << 16, 1 << 25)
 
 
-def in_bitmap(df: DataFrame, key: str, keys: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
-    """df with maybe: true for every row whose key is in keys (one column), and for few others.
+def parted(df: DataFrame, key: str, keys: DataFrame, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key may be in keys (one column) - all that are, and few others - and the rest, unshuffled.
 
-    keys is folded into a bitmap of ``bits`` bits, at most bits / 64 words however many keys there are,
-    which is what gets broadcast; so df can be parted before it is shuffled.
+    keys, a written table, is folded into a bitmap, which is what gets broadcast. All columns of df stay, whatever their
+    names.
     """
-    (name,) = keys.columns
+    if bits is None:
+        bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], 1 << (16 * keys.count()).bit_length()))
+    bit, word, found, flag = fresh(df, "_bit", "_word", "_found", "_flag")
+    place = F.pmod(F.xxhash64(column(keys.columns[0])), F.lit(bits))
     words = (
-        keys.select(_bit(F.col(name), bits).alias("_b"))
-        .groupBy(F.expr("_b div 64").alias("_w"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(_b % 64 as int)))").alias("_bits"))
+        keys.select(place.alias("b"))
+        .groupBy(F.expr("b div 64").alias(word))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias(found))
     )
-    probed = df.withColumn("_b", _bit(F.col(key), bits)).withColumn("_w", F.expr("_b div 64"))
-    bit = F.expr("coalesce(shiftrightunsigned(_bits, cast(_b % 64 as int)) & 1L = 1L, false)")
-    return probed.join(F.broadcast(words), "_w", "left").withColumn("maybe", bit).drop("_w", "_b", "_bits")
+    probed = df.withColumn(bit, F.pmod(F.xxhash64(column(key)), F.lit(bits))).withColumn(word, F.expr(f"{bit} div 64"))
+    maybe = F.expr(f"coalesce(shiftrightunsigned({found}, cast({bit} % 64 as int)) & 1L = 1L, false)")
+    probed = probed.join(F.broadcast(words), word, "left").withColumn(flag, maybe)
+    rows = [column(c) for c in df.columns]
+    return probed.filter(flag).select(*rows), probed.filter(f"not {flag}").select(*rows)
 
 
-def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int | None = None) -> DataFrame:
     """The rows of df whose key may be in keys: all that are, and few others."""
-    return in_bitmap(df, key, keys, bits).filter("maybe").drop("maybe")
+    return parted(df, key, keys, bits)[0]
 
 
 def without(docs: DataFrame, key: str, dropped: DataFrame, kept: DataFrame) -> DataFrame:
-    """docs without the rows whose key is in dropped and not in kept (one column each); all columns stay.
+    """docs without the rows whose key is in dropped and not in kept (one column each, written tables); all columns stay.
 
-    Only rows whose key may be in dropped, by a bitmap of fixed size, are shuffled.
+    Only rows whose key may be in dropped are shuffled.
     """
-    probed = in_bitmap(docs, key, dropped)
-    again = kept.select(F.col(kept.columns[0]).alias("_kept")).distinct()
-    met = probed.filter("maybe").drop("maybe")
-    met = met.join(again, met[key].eqNullSafe(F.col("_kept")), "left_semi")
-    return probed.filter("not maybe").drop("maybe").unionByName(met)
+    maybe, rest = parted(docs, key, dropped)
+    (mine,) = fresh(docs, "_kept")
+    again = kept.select(column(kept.columns[0]).alias(mine)).distinct()
+    return rest.unionByName(maybe.join(again, column(key).eqNullSafe(F.col(mine)), "left_semi"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -108,11 +145,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Rows of an Arrow batch that goes to Python, for tables whose rows may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 #: Classes whose counts may be broadcast (at most a few MB); beyond, they are joined by shuffle.
 FEW_CLASSES = 10_000
 

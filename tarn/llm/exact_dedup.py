@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, cut, in_bitmap, keyed
+from .common import GAP, column, cut, fresh, keyed, parted
 
 SALTS = 16
 
@@ -57,13 +57,13 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A row goes if its id was dropped and not kept with another text; of rows that repeat id and text one stays.
     """
     found = cut(exact_dedup(docs, id_col, text_col), "exact-dedup-found")
-    dropped, kept = found.filter("not kept").select("doc_id"), found.filter("kept")
-    probed = in_bitmap(docs, id_col, dropped)
-    met = probed.filter("maybe").drop("maybe").dropDuplicates([id_col, text_col])
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
-    digest = F.sha2(F.regexp_replace(F.coalesce(met[text_col], F.lit("")), GAP, " "), 256)
-    met = met.join(kept, met[id_col].eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_text")), "left_semi")
-    return probed.filter("not maybe").drop("maybe").unionByName(met)
+    maybe, rest = parted(docs, id_col, found.filter("not kept").select("doc_id"))
+    mine, theirs = fresh(docs, "_kept_id", "_kept_text")
+    kept = found.filter("kept").select(F.col("doc_id").alias(mine), F.col("text_sha256").alias(theirs))
+    met = maybe.dropDuplicates([id_col, text_col])
+    digest = F.sha2(F.regexp_replace(F.coalesce(column(text_col), F.lit("")), GAP, " "), 256)
+    met = met.join(kept, column(id_col).eqNullSafe(F.col(mine)) & (digest == F.col(theirs)), "left_semi")
+    return rest.unionByName(met)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

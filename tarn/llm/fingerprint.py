@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, partitions, range_of, range_splits, small_batches
+from .common import keyed, partitions, range_of, range_splits, small
 
 #: Bytes of a feature; features that one neighbourhood ranks; neighbourhoods in which a feature must be the rarest.
 FEATURE, AROUND, WINS = 64, 64, 16
@@ -207,11 +207,10 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     LEVELS numbers come to the driver. They may be kept and given to fingerprint() to compare with other corpora.
     """
-    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(LEVELS, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             counts += level_counts([t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist() if t])
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["level", "n"])
@@ -224,10 +223,9 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def fingerprint(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fingerprint of each row of docs (null text: empty, whose fingerprint is the empty string)."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             prints = [as_text(filters(h)) for h in features(texts, ranks)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
@@ -267,11 +265,10 @@ def compare_edits(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id", te
     document; after the last document comes the first. A null text counts as empty. Null ids come last, rows of equal
     ids in descending order of text. The only row of a table is its own next. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, chain = "", np.zeros((0, BITS), bool)  # of the row before: in descending order, the next
-        for batch in batches:
+        for batch in small(batches):
             rows, texts = [], []
             for i, t, ahead in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 t = t or ""

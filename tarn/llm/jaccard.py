@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +11,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, maybe_in, small_batches, without
+from .common import cut, drop, keyed, maybe_in, small, without
 from .components import components
 
-#: Sets whose shingles are looked at to estimate how often two sets share one; it steers costs alone.
-SAMPLE = 400
+#: Sets, and of a set the tokens of least hash, from which the allocation is estimated; they steer costs alone.
+SAMPLE, LOWEST = 1_000, 1_024
 #: What a false candidate costs, in signatures.
 CANDIDATE = 50.0
+#: Partitions of the universe that a set tries before it offers its empty segments.
+TURNS = 8
+#: Sets that a task remembers to have offered.
+REMEMBERED = 100_000
 #: Bits of a set's sketch: bit b is the parity of its tokens whose hash is b, so two sketches differ in no more bits than
 #: the sets do in tokens. As columns, one for each 64 bits.
 SKETCH = 512
@@ -61,94 +64,239 @@ def similar(both: int, either: int, num: int, den: int) -> bool:
     return den * both >= num * either
 
 
-@dataclass(frozen=True)
 class Scheme:
-    """How the sets of a band of sizes [low, high) meet each other and those of the next band.
+    """How the sets of a band of sizes [low, high) meet each other and larger ones.
 
-    Two sets of which the smaller is in the band, if linked, differ in at most ``most`` tokens. The universe is cut by
-    hash into ``single`` segments compared whole (they agree if no token differs) and ``double`` ones compared up to one
-    deletion (if at most one differs), with single + 2 * double = most + 1 + slack. If no segment agreed, more than
-    ``most`` tokens would differ; moreover segments that weigh more than ``slack`` in all agree, so a set whose empty
-    segments weigh no more need not offer these.
-    """
-
-    low: int
-    high: int
-    most: int
-    single: int
-    double: int
-    slack: int
+    Two linked sets differ in at most min(sizes) * (den - num) / num tokens, and in (sum of sizes) * (den - num) /
+    (den + num). The universe is cut by hash into segments. A segment of weight 1 is compared whole: it agrees if no token
+    differs; one of weight 2 up to one deletion: it agrees if at most one differs. So segments that disagree weigh no more
+    than the sets differ. A set offers segments, in the scheme's order, until they weigh ``need``: one and ``slack`` more
+    than it can differ from any partner. Of the segments that both sets of a linked pair offer, those that agree weigh more
+    than ``slack``. If one of them holds tokens to compare, the sets share a signature. Else both are *bare* in more than
+    ``slack``, and both offer signatures under the next partition of the universe as well (see signatures()).
 
+    doubles: the segments of weight 2; order: all segments, the first to offer first. Both by estimated cost.
+    """
 
-def band_edges(num: int, den: int, largest: int) -> list[int]:
+    def __init__(self, num: int, den: int, low: int, high: int, doubles: int = 0):
+        self.num, self.den, self.low, self.high = num, den, low, high
+        self.most = (high - 1) * (den - num) // num
+        self.slack = self._least_slack(doubles) if self.most else 0
+        total = self.most + 1 + self.slack
+        self.doubles = min(doubles, total // 2)
+        self.segments = total - self.doubles
+        self.double = np.zeros(self.segments, bool)
+        self.double[: self.doubles] = True
+        self.arrange(np.arange(self.segments))
+
+    def _least_slack(self, doubles: int) -> int:
+        """The slack that makes the fewest signatures, those of further partitions included."""
+        size = (self.low + self.high) / 2
+        best, out = math.inf, 0
+        for slack in range(4 * self.most + 9):
+            m = max(1, self.most + 1 + slack - doubles)
+            p = math.exp(-size / m)
+            mean, deviation = m * p, math.sqrt(m * p * (1 - p)) + 1e-9
+            poor = 0.5 * math.erfc((slack + 0.5 - mean) / deviation / math.sqrt(2))
+            cost = (self.most + 1 + slack) / max(1e-9, 1 - poor)
+            if cost < best:
+                best, out = cost, slack
+            elif self.most + 1 + slack > best:
+                break
+        return out
+
+    def arrange(self, order: np.ndarray) -> None:
+        self.place = np.empty(self.segments, np.int64)
+        self.place[order] = np.arange(self.segments)
+        self.weight = np.cumsum(1 + self.double[order])
+
+    def need(self, size: int) -> int:
+        """What the segments must weigh that a set of this size offers to the band's sets; 0: it has no partner there."""
+        gap = self.den - self.num
+        if size < self.high:
+            return size * gap // self.num + 1 + self.slack
+        small = min(self.high - 1, size)
+        if size * self.num > small * self.den:
+            return 0
+        return min(small * gap // self.num, (small + size) * gap // (self.num + self.den)) + 1 + self.slack
+
+
+def stretch(num: int, den: int) -> int:
+    """The exponent of den / num by which bands grow: wider bands mean fewer signatures and emptier segments."""
+    return 1 if num < 6 * (den - num) else 2
+
+
+def band_edges(num: int, den: int, largest: int) -> tuple[int, ...]:
     """Sizes at which bands begin: a linked pair's sizes are in one band or in two neighbouring ones."""
     edges = [1]
     while edges[-1] <= largest:
-        edges.append(edges[-1] * den // num + 1)
-    return edges
+        edge = edges[-1]
+        for _ in range(stretch(num, den)):
+            edge = edge * den // num + 1
+        edges.append(edge)
+    return tuple(edges)
 
 
-def plan_schemes(num: int, den: int, counts: dict[int, int], share: float) -> list[Scheme]:
-    """Each band's allocation: the one of least estimated cost.
+class Schemes:
+    """The scheme of each band; those that were not planned have no doubles and their segments in natural order."""
 
-    counts: how many sets each band has; share: how likely a token of one set is in another. The cost of an allocation,
-    a set: its signatures, and CANDIDATE for each other set that is expected to share one by chance.
-    """
-    largest = max(counts, default=0)
-    edges = band_edges(num, den, 1)
-    while len(edges) < largest + 3:
-        edges.append(edges[-1] * den // num + 1)
-    schemes = []
-    for k, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
-        most = (high - 1) * (den - num) // num
-        slack = 0 if most == 0 else 2 + most // 32
-        need = most + 1 + slack
-        others = counts.get(k, 0) + counts.get(k + 1, 0)
-        size = (low + high) / 2
-
-        def cost(double: int) -> float:
-            m = need - double  # noqa: B023
-            tokens = size / m  # noqa: B023
-            chance = (m - double) * share**tokens + double * (1 + tokens) * share ** max(0.0, tokens - 1)  # noqa: B023
-            return (m - double) + double * (1 + tokens) + CANDIDATE * min(others, others * chance)  # noqa: B023
-
-        double = min(range(need // 2 + 1), key=cost) if most and need <= 64 else 0
-        schemes.append(Scheme(low, high, most, need - 2 * double, double, slack))
-    return schemes
+    def __init__(self, num: int, den: int):
+        self.num, self.den, self.own = num, den, {}
+        self.edges = np.array(band_edges(num, den, 1 << 40) if num < den else (1,))
+
+    def band(self, size: int) -> int:
+        return int(np.searchsorted(self.edges, size, "right")) - 1
+
+    def of(self, band: int) -> Scheme:
+        if band not in self.own:
+            self.own[band] = Scheme(self.num, self.den, *(int(x) for x in self.edges[band : band + 2]))
+        return self.own[band]
+
+    def signatures(self, h: np.ndarray) -> np.ndarray:
+        """All of a set's: under its band's scheme and under that of the band below. Where only equal sets link, none."""
+        if self.num == self.den:
+            return np.zeros(0, np.uint64)
+        band = self.band(len(h))
+        return np.concatenate([signatures(h, self.of(j), j) for j in (band, band - 1) if j >= 0])
+
+
+def _turned(h: np.ndarray, turn: int) -> np.ndarray:
+    """The set under another hash, sorted."""
+    return h if turn == 0 else np.sort(_mixed(h + np.uint64((turn * int(_A)) & (2**64 - 1))))
 
 
-def band_of(n: int, edges: np.ndarray) -> int:
-    return int(np.searchsorted(edges, n, "right")) - 1
+def _segment(h: np.ndarray, m: int) -> np.ndarray:
+    """Segments are equal ranges of hash values, so each is a run of the sorted tokens."""
+    return ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
 
 
 def signatures(h: np.ndarray, scheme: Scheme, number: int) -> np.ndarray:
-    """A set's signatures (its token hashes sorted) under a scheme.
+    """A set's signatures (its token hashes sorted) under a scheme; a segment's signature is a sum of hashes.
 
-    Segments are equal ranges of hash values, so each is a run of the sorted tokens; its signature is a sum of hashes.
+    Segments without a token to compare have none. A set that is bare in more than the scheme's slack tries further
+    partitions of the universe, TURNS in all; so do its partners that could only agree with it where both are bare. Only
+    a set that is bare under all of them offers its bare segments by number.
     """
-    m = scheme.single + scheme.double
-    segment = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-    tokens = _mixed(h ^ _C)
-    start = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-    own = segment[start]
-    total = np.add.reduceat(tokens, start)
-    size = np.diff(np.r_[start, len(h)])
-    salt = _mixed(own + np.uint64(number << 32) + np.uint64(1))
-    out = [_mixed(total ^ salt)]
-    deletes = own >= scheme.single  # the last segments are the double ones
-    if deletes.any():
-        several = deletes & (size > 1)
-        spread = np.repeat(several, size)
-        out.append(_mixed((np.repeat(total, size) - tokens)[spread] ^ np.repeat(salt, size)[spread]))
-    empty = np.setdiff1d(np.arange(m, dtype=np.uint64), own)
-    poor = int((empty < scheme.single).sum()) + 2 * int((empty >= scheme.single).sum()) + 2 * int((deletes & (size == 1)).sum())
-    if poor > scheme.slack:
-        out.append(_mixed(_mixed(empty + np.uint64(number << 32) + np.uint64(1))))
-        alone = own[deletes & (size == 1)]
-        out.append(_mixed(_mixed(alone + np.uint64(number << 32) + np.uint64(1))))
+    need = scheme.need(len(h))
+    if not need:
+        return np.zeros(0, np.uint64)
+    upto = int(np.searchsorted(scheme.weight, need, "left")) + 1
+    out = []
+    for turn in range(TURNS):
+        t = _turned(h, turn)
+        segment = _segment(t, scheme.segments)
+        tokens = _mixed(t ^ _C)
+        start = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        own = segment[start].astype(np.int64)
+        size = np.diff(np.r_[start, len(t)])
+        total = np.add.reduceat(tokens, start)
+        offered = scheme.place[own] < upto
+        deletes = scheme.double[own] & offered
+        base = np.uint64((number << 36) + (turn << 32) + 1)
+        salt = _mixed(own.astype(np.uint64) + base)
+        out.append(_mixed(total ^ salt)[offered])
+        if deletes.any():
+            spread = np.repeat(deletes & (size > 1), size)
+            out.append(_mixed((np.repeat(total, size) - tokens)[spread] ^ np.repeat(salt, size)[spread]))
+        alone = deletes & (size == 1)
+        bare = int(scheme.weight[min(upto, scheme.segments) - 1]) - int((1 + scheme.double[own])[offered].sum()) + 2 * int(alone.sum())
+        if bare <= scheme.slack:
+            break
+        if turn == TURNS - 1:
+            first = np.flatnonzero(scheme.place < upto)
+            empty = np.concatenate([np.setdiff1d(first, own), own[alone]]).astype(np.uint64)
+            out.append(_mixed(_mixed(empty + base)))
     return np.unique(np.concatenate(out))
 
 
+def _agreeing(sets: list[np.ndarray], m: int, deletions: bool) -> np.ndarray:
+    """For each of m segments, the pairs of sets that agree in it, and hold a token there; NaN: a segment not seen whole."""
+    seg, sums, upto = [], [], m
+    for h, whole in sets:
+        segment = _segment(h, m)
+        if not whole:
+            upto = min(upto, int(segment[-1]))
+        tokens = _mixed(h ^ _C)
+        start = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        total = np.add.reduceat(tokens, start)
+        own = segment[start]
+        if deletions:
+            size = np.diff(np.r_[start, len(h)])
+            several = np.repeat(size > 1, size)
+            own = np.concatenate([own, segment[several]])
+            total = np.concatenate([total, (np.repeat(total, size) - tokens)[several]])
+        seg.append(own), sums.append(total)
+    both = np.stack([np.concatenate(seg), np.concatenate(sums)], 1)
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    edge = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(1)])
+    n = np.diff(np.r_[edge, len(both)]).astype(float)
+    out = np.bincount(both[edge, 0].astype(np.int64), n * (n - 1) / 2, minlength=m)[:m]
+    out[upto:] = np.nan
+    return out
+
+
+def _apart(sets: list[tuple[int, np.ndarray]], num: int, den: int) -> list[tuple[int, np.ndarray]]:
+    """Without those that may be linked with one before: what a false candidate costs is to be told from unlinked sets."""
+    out, seen, sizes = [], np.zeros((0, SKETCH // 64), np.uint64), np.zeros(0, np.int64)
+    for n, h in sets:
+        mine = _sketch(h).view(np.uint64)
+        differ = np.bitwise_count(seen ^ mine).sum(1, dtype=np.int64)
+        if not (differ * (den + num) <= (np.minimum(sizes, LOWEST) + min(n, LOWEST)) * (den - num)).any():
+            out.append((n, h))
+            seen, sizes = np.vstack([seen, mine]), np.r_[sizes, n]
+    return out
+
+
+def plan_schemes(num: int, den: int, sets: list[tuple[int, np.ndarray]], rows: int) -> Schemes:
+    """Each band's allocation: of several numbers of doubles, that of least estimated cost a set.
+
+    sets: of each sampled row the size of its set, and the LOWEST tokens of least hash; rows: how many rows there are.
+    For each segment, the sample's buckets give how likely two sets agree in it, whole or up to a deletion (at least what
+    the share of common tokens lets expect). Segments become doubles where that adds least, and the segments whose buckets
+    are fullest are offered last, which is to say mostly not at all. A signature costs 1, a false candidate CANDIDATE.
+    """
+    schemes = Schemes(num, den)
+    if num == den or not sets:
+        return schemes
+    sampled = len(sets)
+    by_band: dict[int, list] = {}
+    for n, h in _apart(sorted(sets, key=lambda x: (x[0], x[1].tobytes())), num, den):
+        for band in {schemes.band(n), max(0, schemes.band(n) - 1)}:
+            if schemes.of(band).need(n):
+                by_band.setdefault(band, []).append((n, h))
+    for band, own in by_band.items():
+        if len(own) < 8 or not schemes.of(band).most:
+            continue
+        others = rows * len(own) / sampled
+        pairs = len(own) * (len(own) - 1) / 2
+        _, df = np.unique(np.concatenate([h for _, h in own]), return_counts=True)
+        share = float((df * (df - 1)).sum() / ((len(own) - 1) * df.sum()))
+        whole = [(h, len(h) == n) for n, h in own]
+        size = sum(n for n, _ in own) / len(own)
+        total = schemes.of(band).most + 1
+        best, chosen = math.inf, None
+        for doubles in sorted({total * k // 16 for k in (0, 1, 2, 4, 6, 8)}):
+            scheme = Scheme(num, den, *(int(x) for x in schemes.edges[band : band + 2]), doubles)
+            m, tokens = scheme.segments, size / scheme.segments
+            rate = []
+            for deletions, by_share in ((False, share**tokens), (True, (1 + tokens) * share ** max(0.0, tokens - 1))):
+                seen = _agreeing(whole, m, deletions) / pairs
+                mean = np.nanmean(seen) if np.isfinite(seen).any() else 0.0
+                rate.append(np.maximum(np.where(np.isnan(seen), mean, seen), min(1.0, by_share)))
+            single = 1 + CANDIDATE * others * rate[0]
+            double = 1 + tokens + CANDIDATE * others * rate[1]
+            scheme.double[:] = False
+            scheme.double[np.argsort(double - single, kind="stable")[: scheme.doubles]] = True
+            costs = np.where(scheme.double, double, single)
+            order = np.argsort(costs / (1 + scheme.double), kind="stable")
+            scheme.arrange(order)
+            upto = int(np.searchsorted(scheme.weight, scheme.need((scheme.low + scheme.high) // 2), "left")) + 1
+            if (cost := costs[order][:upto].sum()) < best:
+                best, chosen = cost, scheme
+        schemes.own[band] = chosen
+    return schemes
+
+
 def _node(h: np.ndarray) -> tuple[int, int]:
     """A set's 128-bit hash as two signed numbers; the second names the set."""
     d = xxhash.xxh3_128_intdigest(h.tobytes())
@@ -164,7 +312,7 @@ def _sets(rows: DataFrame, width: int, seed: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n, high, node, sketch = [], [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingle_hashes(words_of(text), width, seed)
@@ -188,38 +336,98 @@ def _may_link(a: str, b: str, num: int, den: int) -> Column:
     return (F.greatest(n, m) * num <= F.least(n, m) * den) & (differ * (den + num) <= (n + m) * (den - num))
 
 
-def _offers(rows: DataFrame, width: int, seed: int, schemes: list[Scheme]) -> DataFrame:
-    """sig, node: each set under its band's scheme and under that of the band below."""
-    edges = np.array([s.low for s in schemes] + [schemes[-1].high])
+def _sampled(rows: DataFrame, width: int, seed: int, sample: int) -> tuple[list[tuple[int, np.ndarray]], int]:
+    """Sizes, and tokens of least hash, of the sets of about ``sample`` rows drawn by hash (twice as many at most); how many rows there are."""
+    n = rows.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs, nodes, held = [], [], 0
+        for batch in small(batches):
+            sets = [shingle_hashes(words_of(t), width, seed) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([len(h) for h in sets], pa.int64()), pa.array([h[:LOWEST].tobytes() for h in sets], pa.binary())], names=["n", "low"])
+
+    spot = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id", "text"), 33)
+    drawn = rows.filter(spot * F.lit(n) <= F.lit(float(1 << 31)) * sample).limit(2 * sample).select("text")
+    got = drawn.mapInArrow(run, "n long, low binary").filter("n > 0").collect()
+    return [(r[0], np.frombuffer(bytes(r[1]), np.uint64)) for r in got], n
+
+
+def _offers(rows: DataFrame, width: int, seed: int, schemes: Schemes) -> DataFrame:
+    """sig, node: what each set offers; of equal sets, the first ones in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        sigs, nodes, held = [], [], 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
+        for batch in small(batches):
             for text in batch.column("text").to_pylist():
                 h = shingle_hashes(words_of(text), width, seed)
-                if not len(h):
+                node = _node(h)[1] if len(h) else None
+                if node is None or node in done:
                     continue
-                k, node = band_of(len(h), edges), _node(h)[1]
-                for j in (k, k - 1) if k else (k,):
-                    s = signatures(h, schemes[j], j)
-                    sigs.append(s.view(np.int64)), nodes.append(np.full(len(s), node, np.int64))
-                    held += len(s)
-                if held >= 1 << 17:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
+                if len(done) >= REMEMBERED:
+                    done.clear()
+                done.add(node)
+                s = schemes.signatures(h)
+                sigs.append(s.view(np.int64)), nodes.append(np.full(len(s), node, np.int64))
+                held += len(s)
+                if held >= 1 << 16:
+                    yield made()
                     sigs, nodes, held = [], [], 0
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
+        if sigs:
+            yield made()
 
     return rows.select("text").mapInArrow(run, "sig long, node long")
 
 
-def _token_share(rows: DataFrame, width: int) -> float:
-    """How likely a token of one set is in another, over the sets of at most SAMPLE rows."""
-    h = [x for r in rows.select("text").limit(SAMPLE).toLocalIterator() if len(x := shingle_hashes(words_of(r[0]), width))]
-    if len(h) < 2:
-        return 0.0
-    _, df = np.unique(np.concatenate(h), return_counts=True)
-    return float((df * (df - 1)).sum() / ((len(h) - 1) * df.sum()))
+def bucketed(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of rows sorted by both, without repeats: where each row's bucket begins, and its number of rows."""
+    start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    size = np.diff(np.r_[start, len(sig)])
+    return np.repeat(start, size), np.repeat(size, size)
+
+
+def _met(offers: DataFrame) -> DataFrame:
+    """sig, centre, node, several: nodes that share a signature with another, and the least node that does.
+
+    Buckets of two are one row (their second node, sig 0); of buckets of three and more, each node is one. Offers are
+    sorted by signature and streamed, so no bucket is held as a whole, however large.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of the last bucket so far: its first two rows and its last, and whether each was given out.
+        sig, node, given = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+        def rows(take: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+            several = size[take] > 2
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.where(several, sig[take], 0)), pa.array(node[first[take]]), pa.array(node[take]), pa.array(several)],
+                names=["sig", "centre", "node", "several"],
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = np.concatenate([sig, batch.column("sig").to_numpy()])
+            node = np.concatenate([node, batch.column("node").to_numpy()])
+            given = np.concatenate([given, np.zeros(batch.num_rows, bool)])
+            new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
+            sig, node, given = sig[new], node[new], given[new]
+            first, size = bucketed(sig, node)
+            last = first == first[-1]
+            take = ~given & np.where(size > 2, True, (size == 2) & (np.arange(len(sig)) > first) & ~last)
+            if take.any():
+                yield rows(take, first, size)
+            given = given | take
+            keep = np.flatnonzero(last)
+            keep = np.unique(np.r_[keep[:2], keep[-1:]])
+            sig, node, given = sig[keep], node[keep], given[keep]
+        if len(sig):
+            first, size = bucketed(sig, node)
+            take = ~given & (size == 2) & (np.arange(len(sig)) > first)
+            if take.any():
+                yield rows(take, first, size)
+
+    return offers.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, centre long, node long, several boolean")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -230,7 +438,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, frozenset()
-        for batch in batches:
+        for batch in small(batches, 64):
             out = []
             for u, v, text_u, text_v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if u != last:
@@ -246,11 +454,12 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
 
 
 def jaccard_classes(
-    docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of each row: classes of documents linked by shingle sets with Jaccard >= num / den.
 
-    Equal sets are one node from the start. A node offers signatures (see Scheme); nodes that share one are a bucket.
+    Equal sets are one node from the start. A node offers signatures (see Scheme), allotted by what a sample of about
+    ``sample`` rows costs, which steers time and never results; nodes that share one are a bucket.
     Each bucket's least node is compared with its others, exactly, on the texts' own shingles. Nodes of a bucket that are
     then in different components are compared too, all but those of its largest component with each node elsewhere. Before
     texts are fetched, sizes and sketches rule out pairs that differ in too many tokens; that never loses a link and keeps
@@ -262,8 +471,6 @@ def jaccard_classes(
     own. Other columns are ignored; an empty table gives an empty result. A set is named by 64 of the 128 bits by which
     sets are told apart; should two sets ever share a name, all names are drawn anew.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = keyed(docs, doc_id=id_col, text=text_col)
     for seed in range(8):
         sets = cut(_sets(rows, width, seed), "jaccard-sets")
@@ -272,46 +479,36 @@ def jaccard_classes(
         )
         if nodes.groupBy("node").count().filter("count > 1").isEmpty():
             break
+        drop(sets, nodes)
     else:
         raise RuntimeError("64-bit names of sets collide under every seed: too many sets")
-    # On the driver: one number a band, of which there are about log(largest set) / log(den / num).
-    largest = nodes.agg(F.max("n_shingles")).first()[0] or 0
-    edges = band_edges(num, den, largest)
-    band = F.lit(0) + sum((F.col("n_shingles") >= e).cast("int") for e in edges[1:])
-    counts = dict(map(tuple, nodes.groupBy(band.alias("band")).count().collect()))
-    schemes = plan_schemes(num, den, counts, _token_share(rows, width))
-
-    offers = lambda: _offers(rows, width, seed, schemes)
-    buckets = offers().groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre <> other")
-    buckets = cut(buckets.select("sig", "centre"), "jaccard-buckets")
-    members = maybe_in(offers(), "sig", buckets.select("sig"), bits=1 << 25).join(buckets, "sig").distinct()
-    members = cut(members, "jaccard-members")
-    named = members.select("node").distinct().join(nodes, "node").select("node", "rep")
-    texts = cut(_texts(rows, named, width, seed), "jaccard-texts")
+    schemes = plan_schemes(num, den, *_sampled(rows, width, seed, sample))
+    met = cut(_met(_offers(rows, width, seed, schemes)), "jaccard-met")
 
     sketched = nodes.select("node", "n_shingles", *_SKETCH)
-    stars = members.filter("node <> centre").select("centre", "node").distinct()
+    stars = met.filter("node <> centre").select("centre", "node").distinct()
     stars = stars.join(sketched.alias("b"), "node").select("centre", F.struct("b.node", "b.n_shingles", *[f"b.{c}" for c in _SKETCH]).alias("b"))
     stars = stars.join(sketched.alias("a"), F.col("centre") == F.col("a.node")).filter(_may_link("a", "b", num, den))
-    stars = cut(stars.select(F.col("centre").alias("u"), F.col("b.node").alias("v")), "jaccard-pairs")
-    links = cut(_linked(stars, texts, width, num, den), "jaccard-links")
-    comps = cut(components(links), "jaccard-components")
+    links = _verified(stars.select(F.col("centre").alias("u"), F.col("b.node").alias("v")), rows, nodes, width, num, den, seed)
+    comps = components(links)
 
-    placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = met.filter("several").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("sig")
-    placed = cut(placed.join(mixed, "sig", "left_semi"), "jaccard-placed")
-    sizes = placed.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = cut(placed.join(mixed, "sig", "left_semi"), "jaccard-placed")
+    sizes = mixed.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("sig").agg(F.max(F.struct("n", "comp")).alias("main")).select("sig", F.col("main.comp").alias("main"))
-    placed = cut(placed.join(main, "sig").join(sketched, "node"), "jaccard-placed")
+    placed = cut(mixed.join(main, "sig").join(sketched, "node"), "jaccard-placed")
     a, b = placed.filter("comp <> main").alias("a"), placed.alias("b")
     # Of two rows outside the main component the pair comes once; pairs with the centre were compared before.
     once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
     new = (F.col("a.node") != F.col("a.centre")) & (F.col("b.node") != F.col("b.centre"))
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.comp") != F.col("b.comp")) & once & new & _may_link("a", "b", num, den))
-    pairs = cut(pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct(), "jaccard-pairs")
-    more = cut(_linked(pairs, texts, width, num, den), "jaccard-links")
+    more = _verified(pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct(), rows, nodes, width, num, den, seed)
+    drop(met, mixed, placed)
     if not more.isEmpty():
-        comps = cut(components(links.unionByName(more)), "jaccard-components")
+        drop(comps)
+        comps = components(links.unionByName(more))
+    drop(links, more)
     least = comps.join(nodes.select("node", "rep"), "node").groupBy("comp").agg(F.min("rep").alias("least"))
     of_node = comps.join(least, "comp").select("node", "least")
     of_node = nodes.select("node", "rep").join(of_node, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
@@ -322,12 +519,23 @@ def jaccard_classes(
     )
 
 
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, num: int, den: int, seed: int) -> DataFrame:
+    """Those of pairs (u, v) of nodes that are linked, as a table. Only their texts are fetched, one for each node."""
+    pairs = cut(pairs, "jaccard-pairs")
+    named = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    named = cut(named.join(nodes, "node").select("node", "rep"), "jaccard-named")
+    texts = cut(_texts(rows, named, width, seed), "jaccard-texts")
+    links = cut(_linked(pairs, texts, width, num, den), "jaccard-links")
+    drop(pairs, named, texts)
+    return links
+
+
 def _texts(rows: DataFrame, named: DataFrame, width: int, seed: int) -> DataFrame:
     """A text of each named node: that of its least document."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             nodes = [_node(shingle_hashes(words_of(t), width, seed))[1] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(nodes, pa.int64())], names=["doc_id", "text", "node"])
 

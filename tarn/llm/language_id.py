@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, keyed, sample_by_class, small_batches
+from .common import held_out, keyed, sample_by_class, small
 
 #: Slots of the presence vector for byte n-grams of length 1, 2, 3 and 4; longer spectra share slots by hash.
 SLOTS = (256, 4096, 8192, 4096)
@@ -91,7 +91,7 @@ class KernelModel:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         bits = []
         for text in batch.column("text").to_pylist():
             one = np.zeros(WIDTH, np.uint8)
@@ -105,7 +105,6 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Whole texts are read; only their presence bits, WIDTH / 8 bytes a row, come to the driver.
     """
-    small_batches(docs.sparkSession)
     rows = keyed(docs, doc_id=id_col, text=text_col, lang=lang_col).filter(~held_out()).filter(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
@@ -126,14 +125,13 @@ def annotate(docs: DataFrame, model: KernelModel, text_col: str = "text", lang_a
     """
     if taken := {lang_as, score_as} & set(docs.columns):
         raise ValueError(f"docs has columns of these names: {sorted(taken)}")
-    small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
     names = [*docs.columns, lang_as, score_as]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer() if model.classes else None
         x = np.zeros((TOGETHER, WIDTH), np.float32)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(place).to_pylist()
             lang, scores = ["und"] * len(texts), [0.0] * len(texts)
             known = [i for i, t in enumerate(texts) if score and t and LETTER.search(t)]

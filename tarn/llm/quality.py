@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, keyed, sample_by_class, small_batches
+from .common import held_out, keyed, sample_by_class, small
 
 #: Labelled documents of a class that are learned from at most: DICTIONARY for its dictionary, CALIBRATION for the score.
 DICTIONARY, CALIBRATION = 1_500, 1_500
@@ -99,7 +99,6 @@ def fit_quality_model(
 
     Documents with null, other or contradictory labels are left out. With one class only every score is that class.
     """
-    small_batches(docs.sparkSession)
     known = keyed(labels, doc_id=id_col, label=label_col).filter("label in (0, 1) and doc_id is not null").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_high")).filter("label = _high").drop("_high")
     few = sorted((r[0], r[1]) for r in sample_by_class(known, "label", "doc_id", dictionary + calibration).collect())
@@ -121,7 +120,7 @@ def fit_quality_model(
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = model.compressors()
-        for batch in batches:
+        for batch in small(batches):
             x = [_features(t, *both) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
@@ -139,11 +138,10 @@ def score_quality(docs: DataFrame, model: CompressionModel, id_col: str = "doc_i
     A null text counts as empty; an empty text has the score that the two empty frames give. One row for each row of
     docs, equal texts with equal scores; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = model.compressors() if model.weights else None
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             if both and texts:
                 scores = model.score(np.array([_features(t, *both) for t in texts]))

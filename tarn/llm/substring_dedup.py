@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, cut, in_bitmap, keyed, small_batches
+from .common import cut, drop, keyed, maybe_in, parted, small
 from .fm_index import FMIndex, repeated_span
 
 #: Words of a window, and of the anchor that decides where a window is looked up.
@@ -70,7 +70,7 @@ def _runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n, columns = [], ([], [], [])
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
@@ -93,7 +93,7 @@ def _pieces(texts: DataFrame, window: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["k1", "k2", "start", "shard", "r1", "r2", "piece"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        for batch in batches:
+        for batch in small(batches):
             out, held = [], 0
             for k1, k2, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text)
@@ -165,7 +165,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     total = wanted.agg(F.sum(F.expr(f"aggregate(runs, 0L, (s, r) -> s + r.count + {window - 1})"))).first()[0] or 0
     shards = max(1, -(-total // SHARD))
     need = wanted.join(texts.select("k1", "k2", "rep"), ["k1", "k2"]).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-    near = in_bitmap(rows, "k1", wanted.select("k1"), BITMAP_BITS).filter("maybe").drop("maybe")
+    near = maybe_in(rows, "k1", wanted.select("k1"))
     found = near.join(need, is_rep).select("k1", "k2", "text", "runs")
     pieces = cut(_pieces(found, window, shards), "substring-pieces")
     spans = _spans(pieces, window)
@@ -183,16 +183,15 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id
     document or another. Words are taken from whole texts as they are; a null text has none; texts shorter than a window
     stay whole. Repeated rows are copies of each other. All windows are judged on the input. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     spans, rows = repeated_spans(docs, window, anchor, id_col, text_col)
-    probed = in_bitmap(rows, "k1", spans.select("k1"), BITMAP_BITS)
+    maybe, clean = parted(rows, "k1", spans.select("k1"))
     none = F.lit(None).cast("array<struct<low:int,high:int>>")
-    clean = probed.filter("not maybe").select("doc_id", "text", none.alias("spans"))
-    hit = probed.filter("maybe").join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    clean = clean.select("doc_id", "text", none.alias("spans"))
+    hit = maybe.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, texts, found = batch.columns
             n, removed, kept = [], [], []
             for text, spans in zip(texts.to_pylist(), found.to_pylist(), strict=True):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, in_ranges, keyed, partitions, shared_dir, small_batches, worker_cache
+from .common import cut, in_ranges, keyed, partitions, shared_dir, small, worker_cache
 from .shared_files import create, new_file, read_range
 
 MAGIC = b"TARNRP1\0"
@@ -260,7 +260,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
     bytes, docs, tokens, and before (the part's tokens before it).
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = folder or shared_dir(spark, "tokens")
     model = Path(tokenizer).read_text(encoding="utf-8")
 
@@ -281,7 +280,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
             ids.clear(), counts.clear(), parts.clear()
 
         part = 0
-        for batch in batches:
+        for batch in small(batches):
             encoder = encoder or WordEncoder.of(model)
             for i, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = encoder.encode(text or "")
@@ -334,7 +333,7 @@ def _read(manifest: DataFrame, row, schema: str) -> DataFrame:
         base[part], total, shards = total, total + tokens, shards + n
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for r in batch.to_pylist():
                 shard = Shard.parse(read_range(r["path"], r["offset"], r["bytes"]))
                 start = base[r["part"]] + r["before"]

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, partitions, shared_dir, small_batches
+from .common import cut, keyed, partitions, shared_dir, small
 from .shared_files import create, new_file, open_input
 
 #: Magic number of the skippable frame that holds the dictionary (fixed value of the .warc.zst format).
@@ -130,7 +130,6 @@ def write_archives(
     place). An empty table writes no archives. Other columns are ignored.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     folder = folder or shared_dir(spark, "warc")
     some = keyed(pages, page_id=id_col, url=url_col, payload=body_col)
     few = [r[0] for r in some.select("page_id").filter("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
@@ -147,7 +146,7 @@ def write_archives(
             d.precompute_compress(level=LEVEL)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=True)
         out, path, at, offsets = None, "", 0, []
-        for batch in batches:
+        for batch in small(batches):
             for i in range(batch.num_rows):
                 if out is None:
                     path = new_file(folder, "pages", ".warc.zst")
@@ -178,7 +177,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for path, size, offsets in zip(batch.column("path").to_pylist(), batch.column("bytes").to_pylist(), batch.column("offsets").to_pylist(), strict=True):
                 with open_input(path) as f:
                     d = read_dictionary(f)

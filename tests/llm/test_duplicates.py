@@ -93,37 +93,118 @@ def test_class_edges(spark):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in brute_classes(corpus(), 5, 80, 100)}
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(1, 400), st.data(), st.sampled_from([(90, 100), (80, 100), (60, 100), (100, 100)]), st.floats(0, 0.9))
-def test_linked_sets_share_a_signature(n, data, threshold, share):
-    """The pigeonhole: whatever the allocation, no link is lost."""
-    num, den = threshold
+def linked_sets(n, data, num, den):
+    """Two random sets, linked or nearly."""
     r = np.random.default_rng(data.draw(st.integers(0, 10**6)))
     a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
     most = len(a) * (den - num) // num
     cut, more = sorted((r.integers(0, most + 1), r.integers(0, most + 1)))
     b = np.unique(np.concatenate([r.permutation(a)[cut:], r.integers(0, 2**64, more - cut, dtype=np.uint64)]))
-    counts = {k: 10_000 for k in range(520)}
-    schemes = jc.plan_schemes(num, den, counts, share)
-    edges = np.array([s.low for s in schemes] + [schemes[-1].high])
+    return r, a, b
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 400), st.data(), st.sampled_from([(90, 100), (80, 100), (60, 100), (95, 100)]), st.floats(0, 0.5), st.integers(1, 3))
+def test_linked_sets_share_a_signature(n, data, threshold, share, turns):
+    """The pigeonhole: whatever the allocation and the segments' order, and wherever it stops, no link is lost."""
+    num, den = threshold
+    r, a, b = linked_sets(n, data, num, den)
     common = len(np.intersect1d(a, b))
     if not len(b) or not jc.similar(common, len(a) + len(b) - common, num, den):
         return
-    offers = []
-    for s in (a, b):
-        k = jc.band_of(len(s), edges)
-        offers.append({int(x) for j in {k, max(0, k - 1)} for x in jc.signatures(s, schemes[j], j)})
-    assert offers[0] & offers[1]
+    schemes = jc.Schemes(num, den)
+    for k in {schemes.band(len(s)) - i for s in (a, b) for i in (0, 1)}:
+        if k >= 0:
+            low, high = (int(x) for x in schemes.edges[k : k + 2])
+            scheme = jc.Scheme(num, den, low, high, int(share * high))
+            scheme.double = r.permutation(scheme.double)
+            scheme.arrange(r.permutation(scheme.segments))
+            schemes.own[k] = scheme
+    before, jc.TURNS = jc.TURNS, turns
+    try:
+        assert set(schemes.signatures(a).tolist()) & set(schemes.signatures(b).tolist())
+    finally:
+        jc.TURNS = before
+
+
+@pytest.mark.parametrize("num", [90, 80, 60])
+def test_unrelated_sets_hardly_meet(num):
+    """Candidates of random sets of many sizes grow no faster than the sets do."""
+    r = np.random.default_rng(num)
+    sets = [np.unique(r.integers(0, 2**64, int(n), dtype=np.uint64)) for n in r.integers(4, 400, 6000)]
+    schemes = jc.Schemes(num, 100)
+    met = []
+    for some in (sets[:2000], sets):
+        sigs, n = np.unique(np.concatenate([schemes.signatures(h) for h in some]), return_counts=True)
+        met.append(int((n * (n - 1) // 2).sum()))
+    assert met[1] <= 3 * met[0] + 60
+
+
+def test_allocation_turns_to_deletions_with_more_rows():
+    """Few sets: whole segments, which are fewer signatures; very many that share tokens: some up to a deletion."""
+    r = np.random.default_rng(3)
+    common = r.integers(0, 2**64, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([r.permutation(common)[:120], r.integers(0, 2**64, 180, dtype=np.uint64)])) for _ in range(300)]
+    sample = [(len(h), h) for h in sets]
+    counts = [sum(s.doubles for s in jc.plan_schemes(90, 100, sample, rows).own.values()) for rows in (300, 3_000_000_000)]
+    assert counts[0] < counts[1]
+
+
+def test_crowded_segments_come_last():
+    r = np.random.default_rng(4)
+    crowd = np.sort(r.integers(2**60, 2**60 + 2**56, 30, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([crowd, r.integers(2**62, 2**64 - 1, 270, dtype=np.uint64)])) for _ in range(100)]
+    schemes = jc.plan_schemes(80, 100, [(len(h), h) for h in sets], 1_000_000)
+    scheme = schemes.of(schemes.band(len(sets[0])))
+    full = int(jc._segment(crowd[:1], scheme.segments)[0])
+    assert scheme.place[full] >= scheme.segments - 3
 
 
 @settings(max_examples=50, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
 def test_sketches_differ_in_no_more_bits_than_sets(both, a, b):
     x, y = (np.array(sorted(both | s), np.uint64) for s in (a, b))
-    differ = int(np.bitwise_count(jc._sketch(x) ^ jc._sketch(y)).sum())
+    differ = int(np.bitwise_count((jc._sketch(x) ^ jc._sketch(y)).view(np.uint64)).sum())
     assert differ <= len((both | a) ^ (both | b))
 
 
+def test_sketches_rule_out_by_bits_with_the_highest_set(spark):
+    """In Spark too, each bit counts once, the sign bit among them."""
+    rows = []
+    for k, bits in enumerate([(0, 0), (-1, -1), (-(2**63), -(2**63)), (2**63 - 1, 0)]):
+        rows.append((k, 100, *[bits[i % 2] for i in range(8)]))
+    df = spark.createDataFrame(rows, "node long, n_shingles long, " + ", ".join(f"{c} long" for c in jc._SKETCH))
+    met = df.alias("a").join(df.alias("b"), jc._may_link("a", "b", 80, 100)).select("a.node", "b.node").collect()
+    number = lambda r: [x & (2**64 - 1) for x in r[2:]]
+    want = {(x[0], y[0]) for x in rows for y in rows if sum((p ^ q).bit_count() for p, q in zip(number(x), number(y), strict=True)) * 180 <= 200 * 20}
+    assert {tuple(r) for r in met} == want and 4 < len(want) < 16
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(-3, 3), st.integers(0, 5)), max_size=40), st.integers(1, 7))
+def test_streamed_buckets(offers, step):
+    """However the stream is cut into batches: second nodes of pairs, all nodes of larger buckets, each once."""
+    import pyarrow as pa
+
+    class Frame:
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInArrow(self, run, schema):
+            s = sorted(offers)
+            batches = [pa.table({"sig": pa.array([x for x, _ in s[i : i + step]], pa.int64()), "node": pa.array([y for _, y in s[i : i + step]], pa.int64())}) for i in range(0, len(s), step)]
+            return [tuple(r.values()) for t in run(b.combine_chunks().to_batches()[0] for b in batches) for r in t.to_pylist()]
+
+    buckets = {}
+    for sig, node in set(offers):
+        buckets.setdefault(sig, set()).add(node)
+    want = [(sig, min(b), n, True) for sig, b in buckets.items() if len(b) > 2 for n in b]
+    want += [(0, min(b), max(b), False) for b in buckets.values() if len(b) == 2]
+    assert sorted(jc._met(Frame())) == sorted(want)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(30)] + [(-5, 300), (7, 7)]
