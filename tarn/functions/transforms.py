@@ -27,6 +27,11 @@ SOURCES = {
 }
 
 
+#: Spark's hash of several columns takes each one's hash as the next one's seed, and of whole numbers it is MurmurHash3; of
+#: this number (seed 42) it is 0, the seed of buckets.
+ZERO_SEED = -1693959553
+
+
 def murmur3(data: bytes, seed: int = 0) -> int:
     """The 32-bit x86 form of the public-domain hash MurmurHash3, unsigned."""
     c1, c2, m = 0xCC9E2D51, 0x1B873593, 0xFFFFFFFF
@@ -107,6 +112,10 @@ class Transform:
 
     def _bucket(self, c: Column, source: Primitive) -> Column:
         n = self.width
+        whole = {"int": lambda: c.cast("long"), "long": lambda: c, "date": lambda: F.unix_date(c).cast("long")}
+        if source.name in whole:
+            hashed = F.hash(F.lit(ZERO_SEED), whole[source.name]()).bitwiseAND(0x7FFFFFFF) % n
+            return F.when(c.isNotNull(), hashed).cast("int")
 
         @F.pandas_udf("int")
         def bucket(v: pd.Series) -> pd.Series:
@@ -121,7 +130,7 @@ class Transform:
             known = {x: one(x) for x in v.dropna().unique()}
             return v.map(known).astype("Int32")
 
-        return bucket(c.cast("long") if source.name == "int" else c)
+        return bucket(c)
 
     def apply(self, v: Any, source: Primitive) -> Any:
         """The transform of one value."""

@@ -125,20 +125,30 @@ def write_rows(
 ) -> list[DataFile]:
     """Write the rows as data files under the table's location; nothing is committed.
 
-    Rows are dealt by partition tuple and sorted by it, so a task has one open file at a time and each tuple goes to one
-    task (several where AQE splits it); a file ends with the tuple or after ``file_rows``. Files have names of their own,
-    so failed and repeated tasks leave files that nothing refers to.
+    Rows are rebalanced by partition tuple and sorted by it, so a task has one open file at a time and each tuple goes to
+    one task, or to several where it is large (AQE splits large parts of a rebalance, and joins small ones); a file ends
+    with the tuple or after ``file_rows``. Files have names of their own, so failed and repeated tasks leave files that
+    nothing refers to. Partition values are taken in UTC, whatever the session's time zone, which is as before afterwards.
     """
-    tz = df.sparkSession.conf.get("spark.sql.session.timeZone")
-    if tz != "UTC":
-        df.sparkSession.conf.set("spark.sql.session.timeZone", "UTC")
+    conf = df.sparkSession.conf
+    zone = conf.get("spark.sql.session.timeZone")
+    conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        return _write_rows(df, location, schema, spec, sort_order, options, file_rows)
+    finally:
+        conf.set("spark.sql.session.timeZone", zone)
+
+
+def _write_rows(
+    df: DataFrame, location: str, schema: Schema, spec: PartitionSpec, sort_order: SortOrder | None, options: dict | None, file_rows: int
+) -> list[DataFile]:
     rows = conform(df, schema)
     parts = spec.columns(schema)
     keys = [f"__p{i}" for i in range(len(parts))]
     order = _order(sort_order, schema)
     if parts:
         rows = rows.select("*", *[c.alias(k) for k, c in zip(keys, parts, strict=True)])
-        rows = rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys], *order)
+        rows = rows.hint("rebalance", *[F.col(k) for k in keys]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys], *order)
     elif order:
         rows = rows.sortWithinPartitions(*order)
     names, stamp, op = [f.name for f in spec.fields], dt.datetime.now(dt.UTC).strftime("%Y%m%d_%H%M%S"), operation_id()

@@ -37,10 +37,11 @@ class TableReader(DataSourceReader):
         fs, path = open_uri(partition.path)
         source = pq.ParquetFile(path, filesystem=fs)
         by_id = {(f.metadata or {}).get(b"PARQUET:field_id"): i for i, f in enumerate(source.schema_arrow)}
+        by_name = {f.name: i for i, f in enumerate(source.schema_arrow)} if set(by_id) <= {None} else {}
         for batch in source.iter_batches(8192):
             columns = []
             for f in arrow_schema(schema):
-                i = by_id.get(f.metadata[b"PARQUET:field_id"])
+                i = by_name.get(f.name) if by_name else by_id.get(f.metadata[b"PARQUET:field_id"])
                 columns.append(pa.nulls(batch.num_rows, f.type) if i is None else batch.column(i).cast(f.type))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
@@ -100,6 +101,10 @@ class TarnDataSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         table = _local_table(self.options["path"])
+        if table.live_deletes():
+            raise Unsupported("tables with delete files are read with Table.scan()")
+        if odd := {f.file_format for f, _ in table.live_files()} - {"PARQUET", "parquet"}:
+            raise Unsupported(f"files of these formats are read with Table.scan(): {sorted(odd)}")
         return TableReader([f.file_path for f, _ in table.live_files()], pickle.dumps(table.current_schema()))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:

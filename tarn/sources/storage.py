@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass
 from pathlib import Path
 from urllib.parse import urlparse
@@ -14,6 +15,10 @@ from ..errors import InvalidPath, InvalidTableLocation, ObjectStore
 from ..functions.transforms import murmur3
 
 
+#: Schemes of stores in which a rename is a copy.
+OBJECT_STORES = ("s3", "s3a", "s3n", "gs", "oss", "cosn")
+
+
 @dataclass(frozen=True)
 class ObjectMeta:
     location: str
@@ -54,24 +59,38 @@ class Storage:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.location}/{path}")
 
     def put(self, path: str, data: bytes, exclusive: bool = False) -> bool:
-        """Write an object; exclusive: only if there is none, else False."""
+        """Write an object, whole or not at all; exclusive: only if there is none of the name, else False.
+
+        Exclusive writes are a hard link (local) or a rename that does not overwrite (HDFS and the like), both atomic. On
+        object stores they are the connector's create without overwriting, which excludes other writers where the store
+        has conditional writes.
+        """
         try:
             if self.local:
                 p = self.local / path
                 p.parent.mkdir(parents=True, exist_ok=True)
-                if exclusive:
-                    with open(p, "xb") as f:
-                        f.write(data)
-                else:
-                    tmp = p.with_name(f".{p.name}.tmp")
-                    tmp.write_bytes(data)
+                tmp = p.with_name(f".{p.name}.{uuid.uuid4().hex}.tmp")
+                tmp.write_bytes(data)
+                if not exclusive:
                     os.replace(tmp, p)
+                    return True
+                try:
+                    os.link(tmp, p)
+                finally:
+                    tmp.unlink()
                 return True
-            if exclusive and self._fs.exists(self._hadoop(path)):
-                return False
-            out = self._fs.create(self._hadoop(path), not exclusive)
-            out.write(bytearray(data))
-            out.close()
+            if not exclusive or urlparse(self.location).scheme in OBJECT_STORES:
+                self._write(path, data, not exclusive)
+                return True
+            tmp = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}.tmp"
+            self._write(tmp, data, False)
+            context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._root.toUri(), self.spark._jsc.hadoopConfiguration())
+            keep = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            try:
+                context.rename(self._hadoop(tmp), self._hadoop(path), keep)
+            except Exception:
+                self._fs.delete(self._hadoop(tmp), False)
+                raise
             return True
         except FileExistsError:
             return False
@@ -80,6 +99,11 @@ class Storage:
                 return False
             raise ObjectStore(f"{path} can't be written: {e}") from e
 
+    def _write(self, path: str, data: bytes, overwrite: bool) -> None:
+        out = self._fs.create(self._hadoop(path), overwrite)
+        out.write(bytearray(data))
+        out.close()
+
     def get(self, path: str) -> bytes:
         try:
             if self.local:

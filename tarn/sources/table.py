@@ -4,25 +4,24 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from typing import Any
 
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import MetadataNotFound, SchemaError, TableAlreadyExists, TableNotInitialized
+from ..errors import MetadataNotFound, SchemaError, TableAlreadyExists, TableNotInitialized, Unsupported
 from ..model import values
-from ..model.manifests import DataFile, Entry, ManifestFile, ManifestReader, Status, decode_manifest_list, partition_json
+from ..model.manifests import DataFile, Entry, FileContent, ManifestFile, ManifestReader, Status, decode_manifest_list, partition_json
 from ..model.metadata import Snapshot, SortOrder, TableMetadata
 from ..model.partitioning import PartitionSpec
-from ..model.types import Primitive, Schema
+from ..model.types import Field, Primitive, Schema
 from ..operators.append import write_rows
-from ..operators.transaction import AppendFiles, OverwriteFiles, Transaction
+from ..operators.transaction import AppendFiles, OverwriteFiles, Transaction, version_path
 from .storage import Storage, open_uri
 
 _METADATA = re.compile(r"metadata/(\d+)-[0-9a-f-]{36}\.metadata\.json")
@@ -119,10 +118,9 @@ class Table:
         if self.detect():
             raise TableAlreadyExists(f"there is a table at {self.location}")
         metadata = TableMetadata.new(self.location, schema, spec, properties, sort_order)
-        if not self.storage.put("metadata/.v0.claim", b"0", exclusive=True):
-            raise TableAlreadyExists(f"a table is being created at {self.location}")
-        path = f"metadata/00000-{uuid.uuid4()}.metadata.json"
-        self.storage.put(path, metadata.encode().encode())
+        path = version_path(self.location, 0)
+        if not self.storage.put(path, metadata.encode().encode(), exclusive=True):
+            raise TableAlreadyExists(f"there is a table at {self.location}")
         self.set_state(metadata, 0, path)
 
     # State
@@ -152,8 +150,16 @@ class Table:
             read = pool.map(lambda m: ManifestReader.for_manifest_file(m).read(self.storage.get_uri(m.manifest_path)), listed)
             return [(e, m.spec.spec_id) for m in read for e in m.entries]
 
+    def _live(self, snapshot_id: int | None) -> list[tuple[Entry, int]]:
+        return [(e, spec) for e, spec in self.read_entries(snapshot_id) if e.status != Status.DELETED]
+
     def live_files(self, snapshot_id: int | None = None) -> list[tuple[DataFile, int]]:
-        return [(e.data_file, spec) for e, spec in self.read_entries(snapshot_id) if e.status != Status.DELETED]
+        """The live data files; delete files are not among them."""
+        return [(e.data_file, spec) for e, spec in self._live(snapshot_id) if e.data_file.content == FileContent.DATA]
+
+    def live_deletes(self, snapshot_id: int | None = None) -> list[tuple[Entry, int]]:
+        """The live delete files' entries."""
+        return [(e, spec) for e, spec in self._live(snapshot_id) if e.data_file.content != FileContent.DATA]
 
     # Metadata as DataFrames
 
@@ -179,7 +185,7 @@ class Table:
         return spread.mapInPandas(read, ENTRIES)
 
     def files(self, snapshot_id: int | None = None) -> DataFrame:
-        """A row for each live file."""
+        """A row for each live file; content tells data files (0) from delete files."""
         return self.entries(snapshot_id).filter(F.col("status") != int(Status.DELETED))
 
     def manifests(self, snapshot_id: int | None = None) -> DataFrame:
@@ -210,24 +216,96 @@ class Table:
         schema = self.current_schema()
         if snapshot_id is not None and snapshot.schema_id is not None:
             schema = self.metadata.schema(snapshot.schema_id)
-        return self.scan_files([f for f, _ in self.plan(snapshot_id, where)], schema, where)
+        return self._rows(self._planned(snapshot_id, where), self.live_deletes(snapshot_id), schema, where)
 
     def scan_files(self, files: list[DataFile], schema: Schema, where: Iterable[Condition] = ()) -> DataFrame:
+        """The rows of these data files, whatever delete files say."""
+        return self._filtered(self._read(files, schema), where)
+
+    @staticmethod
+    def _filtered(rows: DataFrame, where: Iterable[Condition]) -> DataFrame:
+        for name, op, value in where:
+            rows = rows.filter(OPERATORS[op](F.col(name), value))
+        return rows
+
+    def _rows(self, planned: list[tuple[Entry, int]], deletes: list[tuple[Entry, int]], schema: Schema, where: Iterable[Condition]) -> DataFrame:
+        """The rows of data files without those that the delete files name.
+
+        A position delete applies to data files of its partition that are no newer than it, an equality delete to those
+        that are older; in an unpartitioned spec an equality delete applies to all older files. Data files to which the
+        same delete files apply are read together.
+        """
+        groups: dict[tuple, tuple[list[DataFile], list[DataFile]]] = {}
+        for e, spec in planned:
+            own = [d for d, of in deletes if self._applies(d, of, e, spec)]
+            key = tuple(sorted(d.data_file.file_path for d in own))
+            groups.setdefault(key, ([], [d.data_file for d in own]))[0].append(e.data_file)
+        parts = [self._filtered(self._without(files, own, schema) if own else self._read(files, schema), where) for files, own in groups.values()]
+        out = parts[0] if parts else self._filtered(self._read([], schema), where)
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _applies(self, delete: Entry, delete_spec: int, data: Entry, spec: int) -> bool:
+        d, f = delete.data_file, data.data_file
+        equality = d.content == FileContent.EQUALITY_DELETES
+        if (delete.sequence_number or 0) < (data.sequence_number or 0) + equality:
+            return False
+        if equality and next(s for s in self.metadata.partition_specs if s.spec_id == delete_spec).is_empty():
+            return True
+        return delete_spec == spec and d.partition == f.partition
+
+    def _without(self, files: list[DataFile], deletes: list[DataFile], schema: Schema) -> DataFrame:
+        taken = {f.name.lower() for f in schema.fields}
+        path, place = (next(c for n in range(len(taken) + 1) if (c := f"{stem}{n or ''}") not in taken) for stem in ("_path", "_place"))
+        rows = self._read(files, schema, path, place)
+        at = [d for d in deletes if d.content == FileContent.POSITION_DELETES]
+        if at:
+            gone = self._read(at, _POSITIONS).select(plain_path(F.col("file_path")).alias(path), F.col("pos").alias(place)).distinct()
+            rows = rows.join(gone, [path, place], "left_anti")
+        rows = rows.drop(path, place)
+        by_keys: dict[tuple, list[DataFile]] = {}
+        for d in deletes:
+            if d.content == FileContent.EQUALITY_DELETES:
+                by_keys.setdefault(tuple(sorted(d.equality_ids or ())), []).append(d)
+        top = {f.id: f for f in schema.fields}
+        for ids, own in by_keys.items():
+            if not ids or any(i not in top for i in ids):
+                raise Unsupported(f"an equality delete by fields {ids}, which are not all columns of the schema")
+            keys = self._read(own, Schema(0, tuple(top[i] for i in ids))).distinct()
+            mine = {top[i].name: f"{path}{i}" for i in ids}
+            keys = keys.withColumnsRenamed(mine)
+            same = [F.col(f"`{name}`").eqNullSafe(F.col(f"`{theirs}`")) for name, theirs in mine.items()]
+            rows = rows.join(keys, same, "left_anti")
+        return rows
+
+    def _read(self, files: list[DataFile], schema: Schema, path: str = "", place: str = "") -> DataFrame:
+        """Rows of files of any readable format; with ``path`` and ``place``, columns of these names that tell where each is from.
+
+        Parquet files are read by field id, where they have ids; for that a session setting is turned on, which matters
+        to reads with a schema of ids alone. ORC files are read by name.
+        """
         self.spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
         struct = schema.to_spark()
         nullable = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in struct])
-        with_ids, without = self._by_ids(files)
+        plain = T.StructType([T.StructField(f.name, f.dataType, True) for f in struct])
+        by_format: dict[str, list[DataFile]] = {}
+        for f in files:
+            by_format.setdefault(f.file_format.upper(), []).append(f)
         parts = []
-        if with_ids:
-            parts.append(self.spark.read.schema(nullable).parquet(*with_ids))
-        if without:
-            plain = T.StructType([T.StructField(f.name, f.dataType, True) for f in struct])
-            parts.append(self.spark.read.schema(plain).parquet(*without))
+        for kind, own in by_format.items():
+            if kind == "PARQUET":
+                with_ids, without = self._by_ids(own)
+                parts += [self.spark.read.schema(s).parquet(*paths) for s, paths in ((nullable, with_ids), (plain, without)) if paths]
+            elif kind == "ORC" and not place:
+                parts.append(self.spark.read.schema(plain).orc([f.file_path for f in own]))
+            else:
+                raise Unsupported(f"data files of format {kind}" + " with position deletes" * bool(place))
+        if place:
+            parts = [p.select("*", plain_path(F.col("_metadata.file_path"), True).alias(path), F.col("_metadata.row_index").alias(place)) for p in parts]
         out = parts[0] if parts else self.spark.createDataFrame([], nullable)
         for p in parts[1:]:
             out = out.unionByName(p)
-        for name, op, value in where:
-            out = out.filter(OPERATORS[op](F.col(name), value))
         return out
 
     def _by_ids(self, files: list[DataFile]) -> tuple[list[str], list[str]]:
@@ -245,8 +323,12 @@ class Table:
         return known + [p for p, x in zip(other, flags, strict=True) if x], [p for p, x in zip(other, flags, strict=True) if not x]
 
     def plan(self, snapshot_id: int | None = None, where: Iterable[Condition] = ()) -> list[tuple[DataFile, int]]:
-        """The live files that may hold rows that meet all conditions."""
-        live, conditions = self.live_files(snapshot_id), list(where)
+        """The live data files that may hold rows that meet all conditions."""
+        return [(e.data_file, spec) for e, spec in self._planned(snapshot_id, where)]
+
+    def _planned(self, snapshot_id: int | None, where: Iterable[Condition]) -> list[tuple[Entry, int]]:
+        live = [(e, spec) for e, spec in self._live(snapshot_id) if e.data_file.content == FileContent.DATA]
+        conditions = list(where)
         if not conditions:
             return live
         specs = {s.spec_id: s.bind(self.metadata.schema_for_spec(s)) for s in self.metadata.partition_specs}
@@ -254,7 +336,7 @@ class Table:
         for name, op, _ in conditions:
             if name.split(".")[0] not in by_name or op not in OPERATORS:
                 raise SchemaError(f"no column {name} or no condition {op}")
-        return [(f, spec) for f, spec in live if all(_may_hold(f, specs[spec], by_name, c) for c in conditions)]
+        return [(e, spec) for e, spec in live if all(_may_hold(e.data_file, specs[spec], by_name, c) for c in conditions)]
 
     # Changes
 
@@ -277,6 +359,18 @@ class Table:
         self.new_transaction().append_files(files).commit()
 
 
+#: Columns of position delete files (fixed values of the table format).
+_POSITIONS = Schema(0, (Field(2147483546, "file_path", False, Primitive("string")), Field(2147483545, "pos", False, Primitive("long"))))
+
+
+def plain_path(c: Column, encoded: bool = False) -> Column:
+    """A file's URI in one form; Spark's own are percent-encoded."""
+    if encoded:
+        c = F.url_decode(F.regexp_replace(c, r"\+", "%2B"))
+    c = F.when(c.startswith("/"), F.concat(F.lit("file:"), c)).otherwise(c)
+    return F.regexp_replace(c, "^file:/+", "file:///")
+
+
 def _may_hold(f: DataFile, bound: list, by_name: dict, condition: Condition) -> bool:
     name, op, value = condition
     field = by_name.get(name)

