@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, partitions, shared_dir, small
+from .common import cut, keyed, parted, partitions, shared_dir, small
 from .shared_files import create, new_file, open_input
 
 #: Magic number of the skippable frame that holds the dictionary (fixed value of the .warc.zst format).
@@ -36,27 +36,28 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def encode_record(kind: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None) -> bytes:
-    """One WARC/1.1 record. A revisit has the length and digest of its payload in the head, and no body."""
-    head = [
-        "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(page_id, url)}",
-        f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}",
-        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
-        f"X-Page-ID: {'' if page_id is None else page_id}",
-        f"X-Payload-Length: {len(payload)}",
-    ]
-    body = payload
+def http_head(size: int) -> bytes:
+    """The head of the HTTP response that a page's body is archived as."""
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+
+
+def encode_record(kind: str, page_id: int | None, url: str | None, payload: bytes | None, refers_to: int | None, refers_url: str | None, size: int = 0, digest: str = "") -> bytes:
+    """One WARC/1.1 record of an HTTP response. A revisit has the length and digest of its payload in its head, and no payload."""
+    if payload is not None:
+        size, digest = len(payload), payload_digest(payload)
+    block = http_head(size) + (b"" if kind == "revisit" else payload)
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, url)}", f"WARC-Date: {DATE}"]
+    if url is not None:
+        head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
+    head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {size}"]
     if kind == "revisit":
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_url)}", f"X-Refers-To-Page-ID: {refers_to}"]
-        body = b""
-    head += ["Content-Type: application/octet-stream", f"Content-Length: {len(body)}"]
-    return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + body + b"\r\n\r\n"
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def decode_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """The head's fields, and the payload: what follows the HTTP head in the block."""
     head, _, rest = data.partition(b"\r\n\r\n")
     first, *lines = head.decode("utf-8").split("\r\n")
     if first != "WARC/1.1":
@@ -64,8 +65,8 @@ def decode_record(data: bytes) -> tuple[dict[str, str], bytes]:
     fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
     length = int(fields["Content-Length"])
     if rest[length:] != b"\r\n\r\n":
-        raise ValueError("a record's length does not match its body")
-    return fields, rest[:length]
+        raise ValueError("a record's length does not match its block")
+    return fields, rest[:length].partition(b"\r\n\r\n")[2]
 
 
 def dictionary_frame(dictionary: bytes) -> bytes:
@@ -93,26 +94,30 @@ def train(samples: list[bytes]) -> bytes | None:
 
 
 def plan_records(pages: DataFrame, least: int, id_col: str, url_col: str, body_col: str) -> DataFrame:
-    """page_id, url, payload, and for revisits refers_to and refers_url.
+    """page_id, url, payload (null: a revisit), size, sha1, and for revisits refers_to and refers_url.
 
-    Rows of equal payloads meet by SHA-256 (and length), never by their bytes; the rows that do are a few numbers each,
-    combined before they are shuffled, so a payload that a third of all pages share is no hot group.
+    Rows of equal payloads meet by SHA-256, as ids and digests: first combined, before they are shuffled, to the largest of
+    each payload, then to tell the revisits. Payloads stay where they are read, but for rows whose id may be a revisit's;
+    those meet the revisits by id, address and digest, so a payload that a third of all pages share is no hot group.
     """
     rows = keyed(pages, page_id=id_col, url=url_col, payload=body_col)
     rows = rows.withColumn("payload", F.coalesce("payload", F.lit("")).cast("binary"))
-    rows = rows.withColumn("key", F.sha2("payload", 256)).withColumn("size", F.length("payload"))
-    heads = rows.filter(F.col("size") >= least).groupBy("key").agg(
+    rows = rows.withColumn("key", F.sha2("payload", 256)).withColumn("size", F.length("payload").cast("long"))
+    slim = rows.select("page_id", "url", "key", "size", F.sha1("payload").alias("sha1"))
+    heads = slim.filter(F.col("size") >= least).groupBy("key").agg(
         F.max(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n")
     )
-    heads = heads.filter("n > 1").select("key", "first")
-    heads = cut(heads, "warc-heads")
-    joined = rows.join(heads, "key", "left")
-    same = F.struct("page_id", "url").eqNullSafe(F.col("first"))
-    refers = F.col("first").isNotNull() & ~same
-    return joined.select(
-        "page_id", "url", "payload", refers.alias("revisit"),
-        F.when(refers, F.col("first.page_id")).alias("refers_to"), F.when(refers, F.col("first.url")).alias("refers_url"),
-    )
+    heads = cut(heads.filter("n > 1").select("key", "first"), "warc-heads")
+    later = slim.join(heads, "key").filter(~F.struct("page_id", "url").eqNullSafe(F.col("first")))
+    revisits = cut(later.select("page_id", "url", "key", "size", "sha1", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")), "warc-revisits")
+    maybe, rest = parted(rows, "page_id", revisits.select("page_id"))
+    told = revisits.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("key").alias("_key")).distinct()
+    same = F.col("page_id").eqNullSafe(F.col("_id")) & F.col("url").eqNullSafe(F.col("_url")) & (F.col("key") == F.col("_key"))
+    first = rest.unionByName(maybe.join(told, same, "left_anti"))
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    kind = rows.schema["page_id"].dataType
+    first = first.select("page_id", "url", "payload", "size", none("sha1", "string"), none("refers_to", kind), none("refers_url", "string"))
+    return first.unionByName(revisits.select("page_id", "url", none("payload", "binary"), "size", "sha1", "refers_to", "refers_url"))
 
 
 def write_archives(
@@ -154,8 +159,9 @@ def write_archives(
                     lead = dictionary_frame(dictionary) if dictionary else b""
                     out.write(lead)
                     at = len(lead)
-                page, url, body, revisit, refers, refers_url = (c[i].as_py() for c in batch.columns)
-                data = packer.compress(encode_record("revisit" if revisit else "response", page, url, body, refers, refers_url))
+                page, url, body, length, sha1, refers, refers_url = (c[i].as_py() for c in batch.columns)
+                digest = base64.b32encode(bytes.fromhex(sha1 or "")).decode()
+                data = packer.compress(encode_record("response" if sha1 is None else "revisit", page, url, body, refers, refers_url, length, digest))
                 out.write(data)
                 offsets.append(at)
                 at += len(data)
@@ -189,7 +195,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                             head, body = decode_record(unpack.decompress(f.read_at(b - a, a)))
                             page, refers = head["X-Page-ID"], head.get("X-Refers-To-Page-ID")
                             rows.append({
-                                "page_id": int(page) if page else None, "url": head["WARC-Target-URI"], "record_type": head["WARC-Type"],
+                                "page_id": int(page) if page else None, "url": head.get("WARC-Target-URI"), "record_type": head["WARC-Type"],
                                 "payload_bytes": int(head["X-Payload-Length"]), "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha1:"),
                                 "refers_to": int(refers) if refers and refers != "None" else None, "body": None if head["WARC-Type"] == "revisit" else body,
                             })
