@@ -20,7 +20,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        that even a text which is a third of all rows comes to each group at most once from each task;
     3. the winners of a text's salts, ``salts`` rows at most, are combined.
 
-    The winners go back to the rows by digest. Where two different texts share a digest, by digest and text.
+    The winners go back to the rows by digest and salt. Where two different texts share a digest, by text as well.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256, one row for each row of docs; other columns of docs are
     ignored. A null text counts as empty. A null id never wins against another id; a group of nulls has keep_id null.
@@ -44,8 +44,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Repeats of one row are folded and unfolded again, so that one of them can be marked.
     repeats = rows.groupBy(*on, "doc_id").agg(F.count(F.lit(1)).cast("int").alias("repeats"))
     first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
+    # A digest of a thousandth of all rows or more is hot. There are at most a thousand of them, a bound for what is
+    # broadcast; their rows meet the winner in ``salts`` groups.
+    total = winners.agg(F.sum("group_size")).first()[0] or 0
+    is_hot = F.col("group_size") * 1000 >= total
+    hot = winners.filter(is_hot).select(F.col("digest").alias("_digest")).distinct()
+    repeats = repeats.join(F.broadcast(hot), F.col("digest") == F.col("_digest"), "left")
+    repeats = repeats.withColumn("salt", F.when(F.col("_digest").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0).cast("int"))
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return (
-        repeats.join(winners, on)
+        repeats.join(winners.withColumn("salt", F.explode(every)), [*on, "salt"])
         .withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
         .select("doc_id", "keep_id", "group_size", first.alias("kept"), F.col("digest").alias("text_sha256"))
     )
