@@ -18,6 +18,8 @@ from .fm_index import FMIndex, repeated_span
 WINDOW, ANCHOR = 35, 8
 #: Words of a shard's index, about; an anchor seen more often than HOT times is split by window.
 SHARD, HOT = 250_000, 64
+#: Groups that a very common anchor's runs are dealt to.
+SALTS = 32
 #: Words of a text whose windows are dealt with at once.
 BLOCK = 1 << 20
 
@@ -158,9 +160,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     is_rep = (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("rep"))
     once = runs.join(reps.select("_k1", "_k2", "rep"), is_rep).select("k1", "k2", F.explode(F.arrays_zip("anchors", "starts", "counts")).alias("r"))
     once = once.select("k1", "k2", F.col("r.anchors").alias("anchor"), F.col("r.starts").alias("start"), F.col("r.counts").alias("count"))
-    often = once.groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
-    often = often.select("anchor", (F.col("seen") > HOT).alias("hot"))
-    wanted = once.join(often, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "start", "count", "hot")).alias("runs"))
+    often = anchors = cut(once.groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1"), "substring-anchors")
+    # Anchors of a thousandth of all such runs or more: a thousand at most, a bound for what is broadcast. Their runs are
+    # dealt to SALTS groups.
+    total = often.agg(F.sum("seen")).first()[0] or 0
+    common = F.col("seen") * 1000 >= total
+    crowds = often.filter(common).select(F.col("anchor").alias("_anchor"))
+    once = once.join(F.broadcast(crowds), F.col("anchor") == F.col("_anchor"), "left")
+    once = once.withColumn("salt", F.when(F.col("_anchor").isNotNull(), F.pmod(F.xxhash64("k1", "start"), F.lit(SALTS))).otherwise(0).cast("int"))
+    every = F.when(common, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    often = often.withColumn("salt", F.explode(every)).select("anchor", "salt", (F.col("seen") > HOT).alias("hot"))
+    wanted = once.join(often, ["anchor", "salt"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "start", "count", "hot")).alias("runs"))
     wanted = cut(wanted, "substring-wanted")
     total = wanted.agg(F.sum(F.expr(f"aggregate(runs, 0L, (s, r) -> s + r.count + {window - 1})"))).first()[0] or 0
     shards = max(1, -(-total // SHARD))
@@ -172,8 +182,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     where = pieces.select("k1", "k2", "start", "r1", "r2").join(spans, ["r1", "r2"])
     where = where.select("k1", "k2", F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")).alias("s"))
     whole = texts.filter(f"copies > 1 and n >= {window}").select("k1", "k2", F.struct(F.lit(0).alias("low"), F.col("n").cast("int").alias("high")).alias("s"))
-    spans = where.unionByName(whole).groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
-    return cut(spans, "substring-spans"), rows
+    spans = cut(where.unionByName(whole).groupBy("k1", "k2").agg(F.collect_set("s").alias("spans")), "substring-spans")
+    drop(runs, texts, anchors, wanted, pieces)
+    return spans, rows
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
