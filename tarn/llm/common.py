@@ -58,6 +58,16 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded(spark: SparkSession, size: str = "8m") -> None:
+    """For an application's start: Arrow batches that go to Python hold ``size`` bytes, unless the session says otherwise.
+
+    Operators work with any setting; Spark's own, 64 MB, takes that much in each of an executor's JVM and workers.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, size)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches (of 64 MB at most, by Spark's own setting) in slices whose Python objects are few at a time."""
     for batch in batches:

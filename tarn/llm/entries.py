@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import bounded
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .fingerprint import op2_fingerprint
 from .jaccard import OP7_SQL, op7_jaccard
@@ -13,7 +18,17 @@ from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .token_file import op1_token_file
 from .warc import OP5_SQL, op5_warc
 
-QUERIES = {
+
+
+def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _query(f) for name, f in {
     "op1_token_file": op1_token_file,
     "op2_fingerprint": op2_fingerprint,
     "op3_exact_dedup": op3_exact_dedup,
@@ -24,7 +39,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
-}
+}.items()}
 
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,

@@ -147,7 +147,8 @@ def annotate(docs: DataFrame, model: KernelModel, text_col: str = "text", lang_a
                     scores[i] = float(min(1.0, max(0.0, (out[row, best[row]] + 1) / 2)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(scores, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())]))
+    # A name with a dot in it is nothing that mapInArrow takes.
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())]))
 
 
 def identify(docs: DataFrame, model: KernelModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, n_words
+from .common import column, cut, fresh, n_words
 
 #: Words of a block.
 BLOCK = 256
@@ -163,12 +163,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     So a source's whole documents come near its target. Documents without words go. Rows that repeat id and text are
     taken equally often.
     """
-    key = F.xxhash64(F.col(f"`{text_col}`"))
-    ids = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), key.alias("key")).alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))
-    times = taken(mix(ids, order_key=F.col("doc_id.id"), **how)).filter("size > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    times = times.filter("_times > 0").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.key").alias("_key"), "_times")
-    met = docs.join(times, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (key == F.col("_key")))
-    return met.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_key", "_times", "_nth")
+    key = F.xxhash64(column(text_col))
+    ids = docs.select(F.struct(column(id_col).alias("id"), key.alias("key")).alias("doc_id"), column(text_col).alias("text"), column(source_col).alias("source"))
+    times = taken(mix(ids, order_key=F.col("doc_id.id"), **how)).filter("size > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times"))
+    mine, theirs, often, nth = fresh(docs, "_id", "_key", "_times", "_nth")
+    times = times.filter("times > 0").select(F.col("doc_id.id").alias(mine), F.col("doc_id.key").alias(theirs), F.col("times").alias(often))
+    met = docs.join(times, column(id_col).eqNullSafe(F.col(mine)) & (key == F.col(theirs)))
+    return met.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(often)))).select(*[column(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

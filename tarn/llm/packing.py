@@ -84,13 +84,13 @@ def pack(
     of that and a rest. Pieces are dealt to shards of about ``shard`` by a hash of id and text, so that shards depend on
     the rows alone and no key or group of copies fills one; each shard is packed by itself in one task, a few
     numbers a piece. Null texts have size 1, null or negative sizes count 0; a document of size 0 has one piece without a bin.
-    Rows of equal ids are packed each by itself. Other columns are ignored; an empty table gives an empty result.
+    Ids may be of any type that sorts. Rows of equal ids are packed each by itself. Other columns are ignored; an empty table gives an empty result.
     """
     most = max(capacities)
     length = n_words(F.col(f"`{text_col}`")) + 1 if size is None else F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0))
     n = max(1, -(-docs.count() // shard))
     rows = docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"), length.alias("total"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("hash")
+        F.col(f"`{id_col}`").alias("doc_id"), length.alias("total"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("hash")
     )
     pieces = rows.withColumn("piece", F.explode(F.expr(f"sequence(0, cast(greatest(total - 1, 0) div {most} as int))")))
     pieces = pieces.select(
@@ -111,7 +111,8 @@ def pack(
             "place": pa.array([*places.tolist(), *none], pa.int64()),
         })
 
-    schema = "doc_id long, piece int, begin long, size long, bin_id long, capacity int, place long"
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, piece int, begin long, size long, bin_id long, capacity int, place long"
     return pieces.groupBy("shard").applyInArrow(run, schema)
 
 

@@ -292,6 +292,27 @@ def test_long_texts_are_cut_into_blocks(monkeypatch):
     assert spread[0] == spread[1] and sum(parts[2]) == len(w) - 34
 
 
+INNER = [
+    "maybe", "_bit", "_word", "_found", "_flag", "_b", "_w", "_bits", "_kept", "_kept_id", "_kept_text", "_id", "_key", "_times", "_nth", "_lang", "_score",
+    "_digest", "salt", "keep_id", "digest", "node", "rep", "size", "range", "number", "k.1", "two words",
+]
+
+
+def test_row_keeping_functions_keep_columns_of_any_name(spark, tmp_path):
+    """Columns with the names that operators use inside stay, with their values."""
+    from tarn.llm.exact_dedup import drop_copies
+    from tarn.llm.mixing import mixed_documents
+
+    texts = [prose(k % 5, 40) for k in range(12)] + ["a b", None]
+    docs = documents(spark, texts, **{f"c{i}": [f"v{i}"] * len(texts) for i in range(len(INNER))})
+    docs = docs.toDF(*docs.columns[: -len(INNER)], *INNER)
+    for f in (drop_copies, jc.one_of_each_class, mixed_documents, lambda d: corpus_pipeline.language(spark, d, "")):
+        out = f(docs)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(tuple(r)[-len(INNER) :] == tuple(f"v{i}" for i in range(len(INNER))) for r in rows)
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against a brute-force version, on what the stage before left."""
     texts = [t for t in corpus() if t is None or len(t) < 4000] + [prose(5, 100), prose(5, 100), "12 34", None]
