@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import shared_dir
+from tarn.llm.common import bounded, column, fresh, shared_dir
 from tarn.llm.exact_dedup import drop_copies
 from tarn.llm.jaccard import one_of_each_class
 from tarn.llm.language_id import annotate, fit_language_model
@@ -18,27 +18,33 @@ from tarn.llm.packing import pack
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those in none (``und``: null, or without a letter) go. lang is what was found."""
-    found = annotate(docs, fit_language_model(docs), lang_as="_lang", score_as="_score").filter("_lang <> 'und'")
-    return found.withColumn("lang", F.col("_lang")).select(*docs.columns)
+    bounded(spark)
+    found, score = fresh(docs, "_lang", "_score")
+    rows = annotate(docs, fit_language_model(docs), lang_as=found, score_as=score).filter(F.col(found) != "und")
+    return rows.withColumn("lang", F.col(found)).select(*[column(c) for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is equal up to white space."""
+    bounded(spark)
     return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class linked by five-word shingle sets with Jaccard similarity 0.8 or more."""
+    bounded(spark)
     return one_of_each_class(docs, width=5, num=80, den=100)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: each document as often as the mix takes it, once or twice whole, or not at all."""
+    bounded(spark)
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each document's tokens in sequences of the permitted lengths."""
+    bounded(spark)
     return pack(docs)
 
 
