@@ -38,8 +38,9 @@ HEAD, HEAD_BYTES = "<8s6Q", struct.calcsize("<8s6Q")
 #: Tokens of a shard: it ends with the document that reaches them.
 SHARD = 1 << 19
 #: A round replaces the pairs seen at least LEAST times, and at least an EIGHTH as often as the commonest; at most PAIRS.
-#: Rounds follow until no pair is seen LEAST times.
-LEAST, EIGHTH, PAIRS = 12, 8, 8192
+#: Rounds follow until no pair is seen LEAST times: a rule takes 96 bits and each use saves a symbol, so that fewer uses
+#: of symbols of up to 19 bits don't pay for it.
+LEAST, EIGHTH, PAIRS = 6, 8, 8192
 #: Units, and other words, whose ids a worker remembers.
 REMEMBERED = 600_000
 END = 1
