@@ -116,7 +116,7 @@ def expand(symbols: np.ndarray, pairs: np.ndarray, terminals: int) -> np.ndarray
 def encode_shard(ids: list[int | None], counts: list[int], tokens: np.ndarray, terminals: int) -> bytes:
     symbols, pairs, lengths = repair(tokens, terminals)
     width = max(1, int(terminals + len(pairs) - 1).bit_length())
-    bits = ((symbols[:, None] >> np.arange(width - 1, -1, -1, dtype=np.uint32)) & 1).astype(np.uint8)
+    bits = np.unpackbits(symbols.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
     return b"".join([
         struct.pack(HEAD, MAGIC, len(ids), len(tokens), terminals, len(pairs), len(symbols), width),
         np.array([0 if i is None else i for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(),
@@ -150,10 +150,9 @@ class Shard:
 
         ids, null, counts = take("<i8", docs), take("u1", docs), take("<u4", docs)
         pairs, lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules)
-        packed = np.unpackbits(np.frombuffer(data, np.uint8, offset=at), count=symbols * width).reshape(symbols, width)
-        s = np.zeros(symbols, np.uint32)
-        for bit in range(width):
-            s = (s << np.uint32(1)) | packed[:, bit]
+        bits = np.zeros((symbols, 32), np.uint8)
+        bits[:, 32 - width :] = np.unpackbits(np.frombuffer(data, np.uint8, offset=at), count=symbols * width).reshape(symbols, width)
+        s = np.packbits(bits, axis=1).view(">u4").ravel().astype(np.uint32)
         return cls([None if z else int(i) for i, z in zip(ids, null, strict=True)], counts, terminals, pairs, lengths, s)
 
     def ends(self) -> np.ndarray:
