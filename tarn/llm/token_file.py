@@ -55,11 +55,16 @@ def repair(tokens: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray,
 
     Each round counts all adjacent pairs, takes the frequent ones (most frequent first) and replaces them together; where
     chosen pairs overlap, every second one from the left. A pair that this leaves with fewer than two uses is no rule.
+    After a round that took every pair seen LEAST times, only pairs with one of its symbols, and what it left of its own
+    pairs, can be seen as often (other counts only fall), so that the next round counts these alone.
     """
     s, rules, lengths = tokens.astype(np.uint32), [], [np.ones(terminals, np.uint32)]
-    n = terminals
+    n, places = terminals, None
     while len(s) > 1:
-        key = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
+        left, right = (s[:-1], s[1:]) if places is None else (s.take(places), s.take(places + 1))
+        key = (left.astype(np.uint64) << np.uint64(32)) | right
+        if not len(key):
+            break
         ordered = np.sort(key)
         edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         count = np.diff(np.r_[edge, len(ordered)])
@@ -67,16 +72,18 @@ def repair(tokens: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray,
         often = np.flatnonzero(count >= least)
         if not len(often):
             break
+        complete = least == LEAST and len(often) <= PAIRS
         if len(often) > PAIRS:
             often = often[np.argsort(-count[often], kind="stable")[:PAIRS]]
         pairs = np.sort(ordered[edge[often]])
-        slot = lambda k: (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-        table = np.zeros(1 << 20, bool)
+        slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)).view(np.int64)
+        table = np.zeros(1 << 17, bool)
         table[slot(pairs)] = True
-        at = np.flatnonzero(table[slot(key)])
+        at = np.flatnonzero(table.take(slot(key)))
         which = np.searchsorted(pairs, key[at])
         real = pairs[np.minimum(which, len(pairs) - 1)] == key[at]
         at, which = at[real], which[real]
+        own = at = at if places is None else places[at]
         # Of positions in a row, the even ones.
         start = np.flatnonzero(np.r_[True, np.diff(at) != 1])
         offset = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
@@ -96,6 +103,14 @@ def repair(tokens: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray,
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
+        if complete:
+            new = s >= n
+            maybe = new[:-1] | new[1:]
+            own = np.cumsum(keep)[own] - 1
+            maybe[own[own < len(maybe)]] = True
+            places = np.flatnonzero(maybe)
+        else:
+            places = None
         n += len(chosen)
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return s, pairs, np.concatenate(lengths)[terminals:]
