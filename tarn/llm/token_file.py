@@ -116,16 +116,19 @@ def repair(tokens: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray,
     return s, pairs, np.concatenate(lengths)[terminals:]
 
 
-def expand(symbols: np.ndarray, pairs: np.ndarray, terminals: int) -> np.ndarray:
-    s = symbols
-    while len(s) and (rule := s >= terminals).any():
-        place = np.cumsum(1 + rule) - 1
-        out = np.empty(place[-1] + 1, np.uint32)
-        out[place[~rule]] = s[~rule]
-        pair = pairs[s[rule] - terminals]
-        out[place[rule] - 1], out[place[rule]] = pair[:, 0], pair[:, 1]
-        s = out
-    return s
+def expand(symbols: np.ndarray, pairs: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
+    """The ids that symbols stand for. The rules' lengths say where each one goes, so every use of a rule is met once."""
+    size = np.concatenate([np.ones(terminals, np.int64), lengths.astype(np.int64)])
+    n = size[symbols]
+    s, at = symbols, np.cumsum(n) - n
+    out = np.empty(int(n.sum()), np.uint32)
+    while len(s):
+        rule = s >= terminals
+        out[at[~rule]] = s[~rule]
+        s, at = s[rule], at[rule]
+        left, right = pairs[s - terminals].T
+        s, at = np.concatenate([left, right]), np.concatenate([at, at + size[left]])
+    return out
 
 
 def encode_shard(ids: list[int | None], counts: list[int], tokens: np.ndarray, terminals: int) -> bytes:
@@ -182,11 +185,11 @@ class Shard:
         ends = self.ends() if ends is None else ends
         a, b = np.searchsorted(ends, low, "right"), np.searchsorted(ends, high, "left") + 1
         skip = low - (int(ends[a - 1]) if a else 0)
-        return expand(self.symbols[a:b], self.pairs, self.terminals)[skip : skip + high - low]
+        return expand(self.symbols[a:b], self.pairs, self.lengths, self.terminals)[skip : skip + high - low]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Each document's id, place in the shard, and token ids."""
-        everything, at = expand(self.symbols, self.pairs, self.terminals), 0
+        everything, at = expand(self.symbols, self.pairs, self.lengths, self.terminals), 0
         for i, n in zip(self.ids, self.counts.tolist(), strict=True):
             yield i, at, everything[at : at + n]
             at += n

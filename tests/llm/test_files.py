@@ -33,8 +33,13 @@ def encoder():
 def test_repair_round_trip(ids, a, b):
     tokens = np.array(ids * 5, np.uint32)
     symbols, pairs, lengths = repair(tokens, 6)
-    assert expand(symbols, pairs, 6).tolist() == tokens.tolist()
-    assert all(len(expand(np.array([6 + k], np.uint32), pairs, 6)) == n for k, n in enumerate(lengths.tolist()))
+    plain = [[k] for k in range(6)]
+    for left, right in pairs.tolist():
+        plain.append(plain[left] + plain[right])
+    assert [len(x) for x in plain[6:]] == lengths.tolist()
+    assert [t for s in symbols.tolist() for t in plain[s]] == tokens.tolist()
+    assert expand(symbols, pairs, lengths, 6).tolist() == tokens.tolist()
+    assert all(expand(np.array([6 + k], np.uint32), pairs, lengths, 6).tolist() == x for k, x in enumerate(plain[6:]))
     shard = Shard.parse(encode_shard([7], [len(tokens)], tokens, 6))
     low, high = sorted((min(a, len(tokens)), min(b, len(tokens))))
     assert shard.tokens(low, high).tolist() == tokens[low:high].tolist()
@@ -55,7 +60,7 @@ def test_repair_goes_on_until_no_pair_is_frequent():
     symbols, pairs, lengths = repair(tokens, 3000)
     count = np.unique((symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:], return_counts=True)[1]
     assert count.max() < LEAST and lengths.max() > 256
-    assert (expand(symbols, pairs, 3000) == tokens).all()
+    assert (expand(symbols, pairs, lengths, 3000) == tokens).all()
 
 
 @settings(max_examples=200, deadline=None)
