@@ -16,6 +16,7 @@ are expanded.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -49,6 +50,20 @@ SIMPLE = re.compile(r"[ \n!-~À-ÖØ-öø-ÿ]*")
 #: The units that the vocabulary's pattern parts such characters, in lower case, into (fixed pattern).
 UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
+#: The settings of a vocabulary file for which parting by UNITS is right (fixed values); all others get whole texts.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 
 def repair(tokens: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The grammar of a sequence of ids below ``terminals``: symbols, pairs (k, 2) and expansion lengths.
@@ -198,6 +213,8 @@ class Shard:
 class WordEncoder:
     """Ids of whole texts, unit by unit: no token of this kind of vocabulary spans the units of its pattern.
 
+    A vocabulary file with other settings gets each text whole, by the library's own encoding.
+
     Simple text is parted by UNITS and each new unit goes to the vocabulary's own model; other text goes to the tokenizer
     as it is, word by word (its pattern drops white space and never matches across it). Ids are remembered.
     """
@@ -207,6 +224,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        file = json.loads(model)
+        known = file.get("normalizer") == NORMALIZER and file.get("pre_tokenizer") == PRE_TOKENIZER
+        self.parted = known and all("<|" in t["content"] for t in file.get("added_tokens") or [])
         self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.model = self.tokenizer.model
         # The byte-level alphabet: printable bytes stand for themselves, the rest for code points from 256 on.
@@ -254,6 +276,8 @@ class WordEncoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text and END."""
+        if not self.parted:
+            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], "<u4")
         if "<|" not in text and SIMPLE.fullmatch(text):
             out = self._simple(text)
         else:

@@ -46,6 +46,17 @@ def test_repair_round_trip(ids, a, b):
     assert [(i, x.tolist()) for i, _, x in shard.documents()] == [(7, tokens.tolist())]
 
 
+def test_other_vocabularies_get_whole_texts(encoder):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    assert encoder.parted
+    cased = Tokenizer(models.WordLevel({"[UNK]": 0, "Ab": 1, "cd": 2}, unk_token="[UNK]"))
+    cased.pre_tokenizer = pre_tokenizers.Whitespace()
+    other = WordEncoder(cased.to_str())
+    assert not other.parted
+    assert [other.encode(x).tolist() for x in ("Ab cd ab", "")] == [[1, 2, 0, 1], [1]]
+
+
 def test_repair_compresses():
     tokens = np.tile(np.arange(10, dtype=np.uint32), 1000)
     symbols, pairs, _ = repair(tokens, 10)
