@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import sys
 import tempfile
@@ -40,11 +41,27 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which a query's shuffle files go when it ends, not when the driver happens to collect its garbage.
+SWEPT = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files; the session's setting is then as it was."""
+    before = spark.conf.get(SWEPT, "false")
+    spark.conf.set(SWEPT, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SWEPT, before)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: later stages then need none of its lineage."""
+    """Write df as a table in the shared folder and read it again: later stages then need none of its lineage or shuffles."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with swept(spark):
+        df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.__dict__["cut_path"] = path
     return table

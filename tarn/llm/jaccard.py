@@ -308,24 +308,47 @@ def _sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _sets(rows: DataFrame, width: int, seed: int) -> DataFrame:
+def long_sketch(h: np.ndarray, num: int, den: int) -> bytes | None:
+    """A sketch as long as tells unlinked sets of this size apart: four times the bits in which linked ones may differ.
+
+    Their number is a power of two, so that the longer of two sketches folds to the length of the other. None where that
+    is no more than the short sketch has.
+    """
+    least = 8 * len(h) * (den - num) // (den + num)
+    if least <= SKETCH:
+        return None
+    bits = 1 << (least - 1).bit_length()
+    parity = np.bincount((h >> np.uint64(23)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """The bits in which two long sketches differ, at most the tokens in which the sets do."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def _sets(rows: DataFrame, width: int, num: int, den: int, seed: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            n, high, node, sketch = [], [], [], []
+            n, high, node, sketch, more = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingle_hashes(words_of(text), width, seed)
                 a, b = _node(h)
-                n.append(len(h)), high.append(a), node.append(b), sketch.append(_sketch(h))
+                n.append(len(h)), high.append(a), node.append(b), sketch.append(_sketch(h)), more.append(long_sketch(h, num, den))
             bits = np.stack(sketch) if sketch else np.zeros((0, len(_SKETCH)), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(node, pa.int64())]
-                + [pa.array(np.ascontiguousarray(c)) for c in bits.T],
-                names=["doc_id", "n_shingles", "high", "node", *_SKETCH],
+                + [pa.array(np.ascontiguousarray(c)) for c in bits.T]
+                + [pa.array(more, pa.binary())],
+                names=["doc_id", "n_shingles", "high", "node", *_SKETCH, "sketch"],
             )
 
-    schema = f"doc_id {kind}, n_shingles long, high long, node long, " + ", ".join(f"{c} long" for c in _SKETCH)
+    schema = f"doc_id {kind}, n_shingles long, high long, node long, " + ", ".join(f"{c} long" for c in _SKETCH) + ", sketch binary"
     return rows.mapInArrow(run, schema)
 
 
@@ -430,6 +453,23 @@ def _met(offers: DataFrame) -> DataFrame:
     return offers.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, centre long, node long, several boolean")
 
 
+def _likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of pairs (u, v) that the long sketches do not rule out, none of which is linked.
+
+    The short sketches of large sets rule out little, and such pairs grow faster than the rows: their texts would be too
+    much to send for each pair.
+    """
+    a, b = (nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            n, m, x, y = (batch.column(c).to_pylist() for c in ("n_u", "n_v", "sketch_u", "sketch_v"))
+            may = [not p or not q or differing(p, q) * (den + num) <= (i + j) * (den - num) for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(may, pa.bool_()))
+
+    return pairs.join(b, "v").join(a, "u").select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v").mapInArrow(run, "u long, v long")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those of pairs (u, v) whose sets, of the shingles themselves, are similar."""
     a = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
@@ -463,7 +503,8 @@ def jaccard_classes(
     Each bucket's least node is compared with its others, exactly, on the texts' own shingles. Nodes of a bucket that are
     then in different components are compared too, all but those of its largest component with each node elsewhere. Before
     texts are fetched, sizes and sketches rule out pairs that differ in too many tokens; that never loses a link and keeps
-    a bucket of near copies just below the threshold from becoming rows. So every pair that shares a signature ends
+    a bucket of near copies just below the threshold from becoming rows. Sketches grow with the sets, so texts are sent
+    only for pairs of which few are unlinked. So every pair that shares a signature ends
     compared, ruled out or in one component.
 
     Whole texts; A-Z are lower-cased. A null or wordless text has 0 shingles and is linked with nothing; its component
@@ -473,9 +514,9 @@ def jaccard_classes(
     """
     rows = keyed(docs, doc_id=id_col, text=text_col)
     for seed in range(8):
-        sets = cut(_sets(rows, width, seed), "jaccard-sets")
+        sets = cut(_sets(rows, width, num, den, seed), "jaccard-sets")
         nodes = cut(
-            sets.filter("n_shingles > 0").groupBy("node", "high", "n_shingles", *_SKETCH).agg(F.min("doc_id").alias("rep")), "jaccard-nodes"
+            sets.filter("n_shingles > 0").groupBy("node", "high", "n_shingles", *_SKETCH, "sketch").agg(F.min("doc_id").alias("rep")), "jaccard-nodes"
         )
         if nodes.groupBy("node").count().filter("count > 1").isEmpty():
             break
@@ -521,12 +562,13 @@ def jaccard_classes(
 
 def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, num: int, den: int, seed: int) -> DataFrame:
     """Those of pairs (u, v) of nodes that are linked, as a table. Only their texts are fetched, one for each node."""
-    pairs = cut(pairs, "jaccard-pairs")
+    met = cut(pairs, "jaccard-pairs")
+    pairs = cut(_likely(met, nodes, num, den), "jaccard-likely")
     named = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     named = cut(named.join(nodes, "node").select("node", "rep"), "jaccard-named")
     texts = cut(_texts(rows, named, width, seed), "jaccard-texts")
     links = cut(_linked(pairs, texts, width, num, den), "jaccard-links")
-    drop(pairs, named, texts)
+    drop(met, pairs, named, texts)
     return links
 
 

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarn.llm import jaccard as jc
 from tarn.llm import substring_dedup as sd
+from tarn.llm.common import SWEPT, cut
 from tarn.llm.components import components
 from tarn.llm.fm_index import FMIndex, repeated_span
 from tarn.llm.mixing import targets
@@ -180,6 +185,45 @@ def test_sketches_rule_out_by_bits_with_the_highest_set(spark):
     assert {tuple(r) for r in met} == want and 4 < len(want) < 16
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.integers(0, 2000), st.integers(0, 2000), st.integers(0, 2000), st.integers(0, 10**6), st.sampled_from([1, 50, 80, 99]))
+def test_long_sketches_differ_in_no_more_bits_than_sets(both, a, b, seed, num):
+    drawn = np.unique(np.random.default_rng(seed).integers(0, 2**64, both + a + b, dtype=np.uint64))
+    drawn = np.random.default_rng(seed).permutation(drawn)
+    x, y = np.sort(drawn[: both + a]), np.sort(np.r_[drawn[:both], drawn[both + a :]])
+    p, q = jc.long_sketch(x, num, 100), jc.long_sketch(y, num, 100)
+    if p and q:
+        assert jc.differing(p, q) == jc.differing(q, p) <= len(np.setxor1d(x, y))
+
+
+def test_texts_of_long_unlinked_sets_are_not_sent(spark, monkeypatch):
+    """With every signature equal, all sets meet; only linked ones may come to where pairs carry texts."""
+    monkeypatch.setattr(jc, "signatures", lambda h, scheme, number: np.array([number], np.uint64))
+    sent, linked = [], jc._linked
+    monkeypatch.setattr(jc, "_linked", lambda pairs, *a: sent.extend(tuple(r) for r in pairs.collect()) or linked(pairs, *a))
+    texts = [prose(g, 3000) for g in range(8)] + [edited(prose(g, 3000), g, 0.002) for g in range(4)]
+    got = sorted(tuple(r) for r in jc.jaccard_classes(documents(spark, texts), 5, 80, 100).collect())
+    assert got == brute_classes(texts, 5, 80, 100)
+    assert len({c for _, _, c in got}) == 8 and len(sent) == 4
+
+
+def shuffle_files(spark):
+    dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    gc.collect()
+    before, setting = shuffle_files(spark), spark.conf.get(SWEPT)
+    table = cut(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "swept")
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and spark.conf.get(SWEPT) == setting
+    assert sorted(tuple(r) for r in table.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(-3, 3), st.integers(0, 5)), max_size=40), st.integers(1, 7))
 def test_streamed_buckets(offers, step):
