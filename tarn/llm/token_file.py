@@ -28,6 +28,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +43,24 @@ SHARD = 1 << 19
 #: Rounds follow until no pair is seen LEAST times: a rule takes 96 bits and each use saves a symbol, so that fewer uses
 #: of symbols of up to 19 bits don't pay for it.
 LEAST, EIGHTH, PAIRS = 6, 8, 8192
-#: Units, and other words, whose ids a worker remembers.
+#: Units and other words whose ids a worker remembers.
 REMEMBERED = 600_000
+#: Bytes of text that are encoded at once (or one text).
+AT_ONCE = 8 << 20
 END = 1
 #: Characters for which case folding and normal forms depend on nothing else: ASCII without controls, letters of Latin-1.
 SIMPLE = re.compile(r"[ \n!-~À-ÖØ-öø-ÿ]*")
-#: The units that the vocabulary's pattern parts such characters, in lower case, into (fixed pattern).
-UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
-
-#: The settings of a vocabulary file for which parting by UNITS is right (fixed values); all others get whole texts.
+#: What the vocabulary's pattern parts such characters, in lower case, into: runs of the bytes of letters or of other signs,
+#: single digits (fixed pattern). Two controls, which simple text has not, are units of their own: a text's end, and the
+#: place of a word that is not simple.
+GAP, LETTER, SINGLE, SIGN = range(4)
+TEXT_END, OTHER = b"\0", b"\1"
+KIND = np.zeros(256, np.uint8)
+KIND[ord("!") : 128] = SIGN
+KIND[ord("0") : ord("9") + 1] = KIND[:2] = SINGLE
+KIND[ord("a") : ord("z") + 1] = KIND[128:] = LETTER
+
+#: The settings of a vocabulary file for which parting by KIND is right (fixed values); all others get whole texts.
 NORMALIZER = {
     "type": "Sequence",
     "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
@@ -77,7 +87,11 @@ def repair(tokens: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray,
     n, places = terminals, None
     while len(s) > 1:
         left, right = (s[:-1], s[1:]) if places is None else (s.take(places), s.take(places + 1))
-        key = (left.astype(np.uint64) << np.uint64(32)) | right
+        # Two symbols in as few bits as hold them; the shift leaves a product's first 17 bits.
+        word, half, odd, shift = (np.uint32, 16, 0x9E3779B1, 15) if n <= 1 << 16 else (np.uint64, 32, 0x9E3779B97F4A7C15, 47)
+        key = left.astype(word)
+        key <<= word(half)
+        key |= right
         if not len(key):
             break
         ordered = np.sort(key)
@@ -91,18 +105,24 @@ def repair(tokens: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray,
         if len(often) > PAIRS:
             often = often[np.argsort(-count[often], kind="stable")[:PAIRS]]
         pairs = np.sort(ordered[edge[often]])
-        slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)).view(np.int64)
-        table = np.zeros(1 << 17, bool)
-        table[slot(pairs)] = True
-        at = np.flatnonzero(table.take(slot(key)))
-        which = np.searchsorted(pairs, key[at])
-        real = pairs[np.minimum(which, len(pairs) - 1)] == key[at]
+        slot = lambda k: ((k * word(odd)) >> word(shift)).astype(np.int64)  # noqa: E731,B023
+        # A slot names one of its pairs; only keys that differ from it are searched for.
+        table = np.full(1 << 17, -1, np.int32)
+        table[slot(pairs)] = np.arange(len(pairs))
+        which = table.take(slot(key))
+        at = np.flatnonzero(which >= 0)
+        which, found = which[at], key[at]
+        missed = np.flatnonzero(pairs.take(which) != found)
+        which[missed] = np.minimum(np.searchsorted(pairs, found[missed]), len(pairs) - 1)
+        real = np.ones(len(at), bool)
+        real[missed] = pairs.take(which[missed]) == found[missed]
         at, which = at[real], which[real]
         own = at = at if places is None else places[at]
         # Of positions in a row, the even ones.
         start = np.flatnonzero(np.r_[True, np.diff(at) != 1])
         offset = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
-        at, which = at[offset % 2 == 0], which[offset % 2 == 0]
+        even = np.flatnonzero((offset & 1) == 0)
+        at, which = at[even], which[even]
         used = np.bincount(which, minlength=len(pairs))
         number = np.cumsum(used >= 2) - 1
         ok = used[which] >= 2
@@ -110,14 +130,14 @@ def repair(tokens: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray,
         if not len(at):
             break
         chosen = pairs[used >= 2]
-        left, right = (chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32)
+        left, right = (chosen >> word(half)).astype(np.uint32), (chosen & word((1 << half) - 1)).astype(np.uint32)
         rules.append(np.column_stack([left, right]))
         known = np.concatenate(lengths)
         lengths.append(known[left] + known[right])
         s[at] = n + number[which]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        s = s[keep]
+        s = s.take(np.flatnonzero(keep))
         if complete:
             new = s >= n
             maybe = new[:-1] | new[1:]
@@ -149,11 +169,14 @@ def expand(symbols: np.ndarray, pairs: np.ndarray, lengths: np.ndarray, terminal
 def encode_shard(ids: list[int | None], counts: list[int], tokens: np.ndarray, terminals: int) -> bytes:
     symbols, pairs, lengths = repair(tokens, terminals)
     width = max(1, int(terminals + len(pairs) - 1).bit_length())
-    bits = np.unpackbits(symbols.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
+    size = -(-width // 8)
+    packed = symbols.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - size :]
+    if width % 8:
+        packed = np.packbits(np.unpackbits(packed, axis=1)[:, -width % 8 :])
     return b"".join([
         struct.pack(HEAD, MAGIC, len(ids), len(tokens), terminals, len(pairs), len(symbols), width),
         np.array([0 if i is None else i for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(),
-        np.array(counts, "<u4").tobytes(), pairs.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), np.packbits(bits).tobytes(),
+        np.array(counts, "<u4").tobytes(), pairs.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), packed.tobytes(),
     ])
 
 
@@ -183,9 +206,15 @@ class Shard:
 
         ids, null, counts = take("<i8", docs), take("u1", docs), take("<u4", docs)
         pairs, lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules)
-        bits = np.zeros((symbols, 32), np.uint8)
-        bits[:, 32 - width :] = np.unpackbits(np.frombuffer(data, np.uint8, offset=at), count=symbols * width).reshape(symbols, width)
-        s = np.packbits(bits, axis=1).view(">u4").ravel().astype(np.uint32)
+        size = -(-width // 8)
+        packed = np.frombuffer(data, np.uint8, offset=at)
+        if width % 8:
+            bits = np.zeros((symbols, 8 * size), np.uint8)
+            bits[:, -width % 8 :] = np.unpackbits(packed, count=symbols * width).reshape(symbols, width)
+            packed = np.packbits(bits, axis=1)
+        whole = np.zeros((symbols, 4), np.uint8)
+        whole[:, 4 - size :] = packed.reshape(symbols, size)
+        s = whole.view(">u4").ravel().astype(np.uint32)
         return cls([None if z else int(i) for i, z in zip(ids, null, strict=True)], counts, terminals, pairs, lengths, s)
 
     def ends(self) -> np.ndarray:
@@ -210,13 +239,35 @@ class Shard:
             at += n
 
 
+def _units(data: np.ndarray) -> pa.BinaryArray:
+    """The units of simple text in lower case, whose last byte is TEXT_END."""
+    kind = KIND.take(data)
+    start = np.empty(len(data), bool)
+    start[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= kind == SINGLE
+    # 's, 't, 'm, 'd, 're, 've and 'll are units where the apostrophe is no part of a longer run of signs.
+    at = np.flatnonzero(data == ord("'"))
+    at = at[(kind[at - 1] != SIGN) & (kind[at + 1] == LETTER)]
+    one, two = data[at + 1], data[at + 2]
+    short = np.isin(one, list(b"stmd"))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    start[at[short | long] + 1] = False
+    start[at[short] + 2] = start[at[long] + 3] = True
+    there = kind != GAP
+    data = data[there]
+    offsets = np.append(np.flatnonzero(start[there]), len(data)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 class WordEncoder:
     """Ids of whole texts, unit by unit: no token of this kind of vocabulary spans the units of its pattern.
 
     A vocabulary file with other settings gets each text whole, by the library's own encoding.
 
-    Simple text is parted by UNITS and each new unit goes to the vocabulary's own model; other text goes to the tokenizer
-    as it is, word by word (its pattern drops white space and never matches across it). Ids are remembered.
+    Simple text is parted into units, many texts at once; each distinct unit is looked up once, and a new one goes to the
+    vocabulary's own model. Other text goes to the tokenizer as it is, word by word (its pattern drops white space and
+    never matches across it). Ids are remembered: one number for each unit or word, the place of its ids.
     """
 
     def __init__(self, model: str):
@@ -235,8 +286,15 @@ class WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.units: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.units: dict[bytes, int] = {}
+        self.words: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units.clear(), self.words.clear()
+        # The ids of entry k are ids[edges[k] : edges[k + 1]]; entry 0 is a text's end, 1 the place of another word.
+        self.ids, self.edges = array("I", [END]), array("q", [0, 1, 1])
+        self.units |= {TEXT_END: 0, OTHER: 1}
 
     @classmethod
     def of(cls, model: str) -> WordEncoder:
@@ -247,48 +305,73 @@ class WordEncoder:
             cache[key] = cls(model)
         return cache[key]
 
-    def _unit(self, unit: str) -> bytes:
-        shown = unit if unit.isascii() else "".join([self.byte_chars[b] for b in unit.encode()])
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def _simple(self, text: str) -> list[bytes]:
-        units, get = UNITS.findall(text.lower()), self.units.get
-        got = list(map(get, units))
-        if None in got:
-            if len(self.units) > REMEMBERED:
-                self.units.clear()
-            own = self.units
-            for k, ids in enumerate(got):
-                if ids is None:
-                    unit = units[k]
-                    if (ids := own.get(unit)) is None:
-                        ids = own[unit] = self._unit(unit)
-                    got[k] = ids
-        return got
-
-    def _other(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) > REMEMBERED // 4:
-                self.words.clear()
-            ids = self.words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+    def _add(self, ids: list[int]) -> int:
+        self.ids.extend(ids)
+        self.edges.append(len(self.ids))
+        return len(self.edges) - 2
+
+    def _unit(self, unit: bytes) -> int:
+        shown = unit.decode() if unit.isascii() else "".join([self.byte_chars[b] for b in unit])
+        entry = self.units[unit] = self._add([t.id for t in self.model.tokenize(shown)])
+        return entry
+
+    def _other(self, word: str) -> int:
+        entry = self.words.get(word)
+        if entry is None:
+            entry = self.words[word] = self._add(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return entry
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text and END."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text and END."""
         if not self.parted:
-            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], "<u4")
-        if "<|" not in text and SIMPLE.fullmatch(text):
-            out = self._simple(text)
-        else:
-            out = []
-            for word in text.replace("\n", " ").split(" "):
-                if "<|" not in word and SIMPLE.fullmatch(word):
-                    out += self._simple(word)
-                else:
-                    out.append(self._other(word))
-        out.append(END.to_bytes(4, "little"))
-        return np.frombuffer(b"".join(out), "<u4")
+            return [np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END], "<u4") for t in texts]
+        if not texts:
+            return []
+        if len(self.edges) > REMEMBERED or len(self.words) > REMEMBERED // 4:
+            self._forget()
+        simple, others = [], []
+        for text in texts:
+            if "<|" in text or not SIMPLE.fullmatch(text):
+                words = text.replace("\n", " ").split(" ")
+                for k, word in enumerate(words):
+                    if "<|" in word or not SIMPLE.fullmatch(word):
+                        words[k] = OTHER.decode()
+                        others.append(self._other(word))
+                text = " ".join(words)
+            simple.append(text)
+        end = TEXT_END.decode()
+        units = _units(np.frombuffer((end.join(simple) + end).lower().encode(), np.uint8)).dictionary_encode()
+        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.units.get, distinct))
+        for k in [k for k, at in enumerate(found) if at is None]:
+            found[k] = self._unit(distinct[k])
+        entry = np.array(found, np.int64).take(units.indices.to_numpy())
+        closes = entry == 0
+        if others:
+            entry[entry == 1] = others
+        edges = np.frombuffer(self.edges, np.int64)
+        first = edges.take(entry)
+        count = edges.take(entry + 1) - first
+        stop = np.cumsum(count)
+        place = np.repeat(first - stop + count, count)
+        place += np.arange(len(place))
+        ids = np.frombuffer(self.ids, np.uint32).take(place).astype("<u4", copy=False)
+        return np.split(ids, stop[closes][:-1])
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """A batch's ids and texts (null: empty), AT_ONCE bytes of text or one row at a time."""
+    begin = held = 0
+    for k, n in enumerate([*pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 0]):
+        if k == batch.num_rows or k > begin and held + n > AT_ONCE:
+            ids, texts = (batch.column(c).slice(begin, k - begin) for c in (0, 1))
+            yield ids.to_pylist(), pc.fill_null(texts, "").to_numpy(zero_copy_only=False).tolist()
+            begin, held = k, 0
+        held += n
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,14 +405,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
             ids.clear(), counts.clear(), parts.clear()
 
         part = 0
-        for batch in small(batches):
+        for batch in batches:
             encoder = encoder or WordEncoder.of(model)
-            for i, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = encoder.encode(text or "")
-                ids.append(i), counts.append(len(tokens)), parts.append(tokens)
-                size += len(tokens)
-                if size >= SHARD:
-                    flush()
+            if batch.num_rows:
+                part = batch.column(2)[0].as_py()
+            for some, texts in _slices(batch):
+                for i, tokens in zip(some, encoder.encode_all(texts), strict=True):
+                    ids.append(i), counts.append(len(tokens)), parts.append(tokens)
+                    size += len(tokens)
+                    if size >= SHARD:
+                        flush()
         if ids:
             flush()
         if out is not None:

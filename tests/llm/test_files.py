@@ -81,6 +81,41 @@ def test_words_are_encoded_as_the_library_does(encoder, text):
         assert encoder.encode(t).tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids + [END]
 
 
+def test_texts_are_encoded_together_as_each_alone(encoder):
+    """Units end with their text, and apostrophes of one text don't meet the letters of the next."""
+    texts = ["it'", "s", "", "漢字 we'LL", "''s 'soft x's'd !'t", "Don't", "\0\1 a", "<|endoftext|>", "'re'", "vé 12's\n", "'"]
+    assert encoder.encode_all([]) == []
+    assert [x.tolist() for x in encoder.encode_all(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [END] for t in texts]
+
+
+def test_a_unit_is_looked_up_once_for_many_uses(encoder):
+    """What one lookup for each word costs brought the query over its CPU budget."""
+
+    class Counting(dict):
+        lookups = 0
+
+        def get(self, *a):
+            Counting.lookups += 1
+            return super().get(*a)
+
+    with open(PATH, encoding="utf-8") as f:
+        own = WordEncoder(f.read())
+    own.units = Counting(own.units)
+    text = "the cat, the dog. " * 1000
+    assert own.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [END]
+    assert 0 < Counting.lookups < 20
+
+
+@pytest.mark.parametrize("terminals", [2, 200, 250, 60_000, 65_530, 65_536, 200_000])
+def test_shards_of_all_widths(terminals):
+    """Symbols of whole bytes and of other widths; pairs of symbols below and above 16 bits, and rules that pass them."""
+    r = np.random.default_rng(terminals)
+    tokens = np.concatenate([np.tile(r.integers(0, terminals, 40), 9), r.integers(0, terminals, 500)]).astype(np.uint32)
+    shard = Shard.parse(encode_shard([3], [len(tokens)], tokens, terminals))
+    assert len(shard.pairs) and len(shard.symbols) < len(tokens)
+    assert [x.tolist() for _, _, x in shard.documents()] == [tokens.tolist()]
+
+
 def test_token_file(spark):
     texts = ODD + [prose(i, 50) for i in range(30)]
     manifest = write_tokens(clashing(spark, texts).repartition(5), PATH)
